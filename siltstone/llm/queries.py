@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bloom_lm, decontaminate, language_id, lz_fingerprint, packed_ids, token_counts
+from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lz_fingerprint, packed_ids, token_counts
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def remainder(modulus: int, of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == of
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(3, 1)
+    model = attention_quality.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return attention_quality.quality_scores(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
@@ -65,6 +71,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = packed_ids.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed_ids.read_ids(spark, folder)
@@ -79,7 +89,7 @@ def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op4_packed_ids, op6_bloom_lm, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
+    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op6_bloom_lm, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
