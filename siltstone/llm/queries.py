@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lz_fingerprint, packed_ids, token_counts
+from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lsh_forest, lz_fingerprint, packed_ids, token_counts
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(3, 1)
     found = language_id.label_languages(docs, language_id.train(docs, ~held))
@@ -89,7 +93,7 @@ def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op6_bloom_lm, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
+    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op6_bloom_lm, op7_jaccard_join, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
