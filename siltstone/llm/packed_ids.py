@@ -17,9 +17,12 @@ tokens before each.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import fresh_dir, open_fs, ordered, utf8, write_whole
 from siltstone.llm.token_counts import slices
 
-MAGIC, BLOCK, CACHE = b"PKIDS\0\0\1", 1 << 16, 800_000
+MAGIC, BLOCK, CACHE = b"PKIDS\0\0\1", 1 << 16, 400_000
+# Letters whose kind and lower case need no context; with an apostrophe a suffix may be split off differently.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+ODD = re.compile(f"[^\\x00-&(-\\x7f{LATIN}]")
+PIECES = re.compile(f"[{LATIN}]+|[0-9]+|[^ \\t\\n\\v\\f\\r0-9{LATIN}]+")
 NULL_ID = -(1 << 63)
 
 
@@ -56,12 +63,15 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's splitter drops white space, so no token crosses a space: texts are cut at ASCII
-    spaces and line ends, the pieces a worker hasn't met are batch-encoded, the rest looked up.
+    The vocabulary's splitter drops white space and keeps runs of letters apart from other signs, so no
+    token crosses such a boundary: texts are cut there, the pieces a worker hasn't met are batch-encoded,
+    the rest looked up.  Texts of Latin letters and ASCII alone (all stable under the tokenizer's
+    normalisation) are cut at either kind of boundary, others at ASCII spaces and line ends only.
     ``safe`` is read off the tokenizer's own settings; a tokenizer of another kind encodes texts whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -71,17 +81,26 @@ class WordEncoder:
         spec = json.loads(self.model.to_str())
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.safe = split.get("invert") is True and split.get("behavior") == "Removed" and "[^\\s" in str(split.get("pattern")) and set(kinds) <= {"NFC", "Replace", "Lowercase"} and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+        words = split.get("invert") is True and split.get("behavior") == "Removed" and str(split.get("pattern", {}).get("Regex")).endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        self.safe = words and kinds == ["NFC", "Replace", "Lowercase"] and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.model.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 4096):  # the library's results are much larger than the ids
+            for x in self.model.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+                yield np.asarray(x.ids, "<u4").tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        if ODD.search(text) or self.special.search(text):
+            return text.replace("\n", " ").split(" ")
+        return PIECES.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         if not self.safe:
-            return self._encode(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+            return list(self._encode(texts))
+        cut = [self.cut(t) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known = {"": b""}
@@ -91,6 +110,12 @@ class WordEncoder:
         return [b"".join(map(get, x)) for x in cut]
 
 
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, kept from task to task."""
+    return WordEncoder(path)
+
+
 class ShardWriter:
     """Gathers documents; ``chunks`` yields the file's bytes as blocks fill, so one block is in memory."""
 
@@ -169,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_c
         first = next((b for b in it if b.num_rows), None)
         if first is None:
             return
-        model = WordEncoder(tokenizer_path)
+        model = encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
         writer = ShardWriter(bits_for(model.vocabulary), model.vocabulary)
 
