@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lsh_forest, lz_fingerprint, packed_ids, token_counts
+from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lsh_forest, lz_fingerprint, packed_ids, soft_mixing, token_counts
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,21 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
+#: Domains of the labelled table, and the part of all tokens each shall have.
+SHARES = {"good": 0.90, "poor": 0.05, "toxic": 0.05}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of each labelled document: toxic, else good or poor by its quality."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", kind.alias("domain")).where(F.col("domain").isNotNull())
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = soft_mixing.mixed(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), SHARES)
+    return found
+
+
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(10, 0)
     scored = bloom_lm.lm_scores(docs, ~held)
@@ -93,7 +108,7 @@ def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op6_bloom_lm, op7_jaccard_join, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
+    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op5_soft_mixing, op6_bloom_lm, op7_jaccard_join, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
