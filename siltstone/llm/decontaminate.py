@@ -175,6 +175,34 @@ def _rows(ids: pa.Array, at: np.ndarray, mask: np.ndarray, found: dict[int, set]
     return pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
 
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The items with text, in blocks of about ``block_bytes`` at most."""
+    held = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    return [held.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item", "text") for i in range(n)]
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no window of any item occurs, all columns kept; block after block of items."""
+    for block in _blocks(items, item_col, text_col, block_bytes):
+        own = block.collect()
+        sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(*sent.value)
+            for batch in batches:
+                data, offsets = utf8(batch.column(text_col))
+                for a, b in slices(np.diff(offsets).tolist(), SLICE):
+                    w, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    clean = np.ones(b - a, bool)
+                    clean[np.searchsorted(at, index.hits(w, at)[0], "right") - 1] = False
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Of each document: n_words, n_hit, n_items, items_sha256, contaminated, and the spans and items hit.
 
@@ -182,13 +210,12 @@ def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, id_col:
     null item id isn't listed (its words still count as hit).  Repeated rows and ids stay apart.
     """
     spark = docs.sparkSession
-    held = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    held = _blocks(items, item_col, text_col, block_bytes)
+    blocks = len(held)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def scan(block: int, whole: bool) -> DataFrame:
-        own = held.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
+        own = held[block].collect()
         sent = spark.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,3 +215,19 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id bigint, lang_pred string, score double, spans array<struct<first int, after int, lang string>>").withColumnRenamed("id", id_col)
+
+
+def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The documents whose language could be told with a score of at least ``least``, all columns kept."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, tab, uses, switch = sent.value
+        own = Model(languages, tab, uses, switch, 1.0)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                got = [own.label(t) for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

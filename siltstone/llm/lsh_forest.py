@@ -256,3 +256,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     alone = signed.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("copy_of"), F.lit(1).cast("bigint").alias("n_copies"))
     rest = signed.where("n > 0").select("id", "same").join(by_class, "same").select("id", "class_id", "n_links", "copy_of", "n_copies")
     return rest.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without the near copies: of each class the one with the least id stays, all columns kept.
+
+    Of rows of one id one stays; rows with a null id, which name no document, all stay.
+    """
+    found = jaccard_join(docs, threshold, id_col=id_col, text_col=text_col)
+    gone = materialise(found.where(F.col(id_col) != F.col("class_id")).select(id_col), "gone")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if twice.isEmpty():
+        return kept
+    rest = kept.join(twice, id_col, "left_anti")
+    chosen = kept.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.max_by(F.struct(*docs.columns), F.struct(F.length(text_col), F.col(text_col))).alias("_row"))
+    return rest.unionByName(chosen.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))).select(*docs.columns)

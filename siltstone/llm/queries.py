@@ -107,8 +107,14 @@ def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op5_soft_mixing, op6_bloom_lm, op7_jaccard_join, op8_language_id, op9_token_counts, op10_lz_fingerprints)}
+    return {f.__name__: f for f in (op1_attention_quality, op2_decontamination, op3_html_text, op4_packed_ids, op5_soft_mixing, op6_bloom_lm, op7_jaccard_join, op8_language_id, op9_token_counts, op10_lz_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,7 +56,10 @@ class Classifier:
 
     def one(self, inputs: list[Column], i: int) -> Column:
         own = self.weights[i]
-        at = sum((x * w for x, w in zip(inputs[1:], own[1:], strict=True)), F.lit(own[0]))
+        return self._sigmoid(sum((x * w for x, w in zip(inputs[1:], own[1:], strict=True)), F.lit(own[0])))
+
+    @staticmethod
+    def _sigmoid(at: Column) -> Column:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
 
     def posterior(self, inputs: list[Column]) -> list[Column]:
@@ -64,6 +67,15 @@ class Classifier:
         return [x / sum(ones[1:], ones[0]) for x in ones]
 
 
+def _ints(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _dot(v: Column, weights: list[float]) -> Column:
+    own = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    return F.aggregate(F.zip_with(v, own, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     """A small linear system by elimination with pivots."""
     n, m = len(b), [[*row, y] for row, y in zip(a, b, strict=True)]
@@ -96,28 +108,30 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
     if not total:
         return Classifier(domains, [[] for _ in domains], [[0.0] * (6 + len(domains)) for _ in domains])
     seen = held.select("domain", F.explode(F.array_distinct(_plain(F.col("text")))).alias("word")).where("word <> '' AND length(word) < 40").groupBy("word").agg(F.count(F.lit(1)).alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"in_{i}") for i, d in enumerate(domains)))
+    seen = materialise(seen.where(F.col("all") >= 5), "seen").coalesce(4)
     lexicons = []
     for i, d in enumerate(domains):
         p = sizes.get(d, 0) / total
         z = (F.col(f"in_{i}") - F.col("all") * p) / F.sqrt(F.col("all") * max(p * (1 - p), 1e-9))
-        lexicons.append([r["word"] for r in seen.where(F.col("all") >= 5).select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()])
+        lexicons.append([r["word"] for r in seen.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()])
     inputs = Classifier.inputs(F.col("text"), lexicons)
     k = len(inputs)
-    x = materialise(held.select("domain", *(c.alias(f"x{i}") for i, c in enumerate(inputs))), "inputs").coalesce(4)
-    cols = [F.col(f"x{i}") for i in range(k)]
+    x = materialise(held.select("domain", F.array(*inputs).alias("v")), "inputs").coalesce(4)
+    k = len(inputs)
     weights = [[math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)), *[0.0] * (k - 1)] for d in domains]
+    # Entries (a, b) of each second-derivative matrix; (a, -1) of each gradient.
+    entries = [(a, b) for a in range(k) for b in (-1, *range(a, k))]
+    entry = F.explode(F.arrays_zip(_ints([a for a, _ in entries]), _ints([b for _, b in entries])))
     for _ in range(rounds):
-        sums = []
-        for i, d in enumerate(domains):
-            s = Classifier(domains, lexicons, weights).one(cols, i)
-            sums += [F.sum((F.when(F.col("domain") == d, 1.0).otherwise(0.0) - s) * c).alias(f"g{i}_{a}") for a, c in enumerate(cols)]
-            sums += [F.sum(s * (1 - s) * cols[a] * cols[b]).alias(f"h{i}_{a}_{b}") for a in range(k) for b in range(a, k)]
-        got = x.agg(*sums).first()
+        ones = F.array(*(F.struct(F.lit(i).alias("i"), Classifier._sigmoid(_dot(F.col("v"), own)).alias("s"), F.when(F.col("domain") == d, 1.0).otherwise(0.0).alias("y")) for i, (d, own) in enumerate(zip(domains, weights, strict=True))))
+        each = x.select("v", F.explode(ones).alias("o")).select("v", "o", entry.alias("e")).select("o.*", "v", F.col("e.0").alias("a"), F.col("e.1").alias("b"))
+        term = F.when(F.col("b") < 0, (F.col("y") - F.col("s"))).otherwise(F.col("s") * (1 - F.col("s")) * F.element_at("v", F.greatest(F.col("b"), F.lit(0)) + 1))
+        got = {(r["i"], r["a"], r["b"]): r["t"] for r in each.groupBy("i", "a", "b").agg(F.sum(term * F.element_at("v", F.col("a") + 1)).alias("t")).collect()}
         moved = 0.0
         for i in range(len(domains)):
             keep = lambda a: ridge * total * (a > 0) + 1e-9
-            grad = [got[f"g{i}_{a}"] - keep(a) * weights[i][a] for a in range(k)]
-            hess = [[got[f"h{i}_{min(a, b)}_{max(a, b)}"] + keep(a) * (a == b) for b in range(k)] for a in range(k)]
+            grad = [got[i, a, -1] - keep(a) * weights[i][a] for a in range(k)]
+            hess = [[got[i, min(a, b), max(a, b)] + keep(a) * (a == b) for b in range(k)] for a in range(k)]
             step = _solve(hess, grad)
             most = max(map(abs, step))
             weights[i] = [w + s * min(1.0, 8.0 / max(most, 1e-12)) for w, s in zip(weights[i], step, strict=True)]
@@ -216,5 +230,7 @@ def thinned(docs: DataFrame, labelled: DataFrame, shares: Mapping[str, float], i
     mix = fit(score(docs, model, [], text_col), model, shares, most=1.0)
     names = docs.columns
     own = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    rated = score(own, model, ["_row", "_id"], "_t").where(copies(mix.rate(F.col("_p")), F.col("_id")) > 0)
+    # A row for each copy: a filter would be pushed below the scores and work them out many times.
+    taken = F.explode(F.array_repeat(F.lit(0), copies(mix.rate(F.col("_p")), F.col("_id")).cast("int")))
+    rated = score(own, model, ["_row", "_id"], "_t").select("_row", taken)
     return rated.select(*(F.col("_row").getField(c).alias(c) for c in names))
