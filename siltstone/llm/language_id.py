@@ -8,6 +8,9 @@ gain half a switch, the path of the best single language is the best path, and t
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,37 +37,37 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)),
 }
 NAMES = list(SCRIPTS)
-BUCKETS, CACHE = 1 << 15, 400_000
+BUCKETS, CACHE = 1 << 15, 600_000
 UNDETERMINED = "und"
+_ranges = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
+_STARTS = np.array([a for a, _, _ in _ranges], np.uint32)
+_ENDS = np.array([b for _, b, _ in _ranges], np.uint32)
+_KINDS = np.array([i for _, _, i in _ranges])
+#: A word is a run of letters (and of number signs that aren't decimal digits, which count for nothing).
+WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(ch: str) -> int:
-    """The script's place in ``SCRIPTS``; their number for any other letter."""
-    c = ord(ch)
-    for i, ranges in enumerate(SCRIPTS.values()):
-        for a, b in ranges:
-            if a <= c <= b:
-                return i
-    return len(NAMES)
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
-_of = {chr(c): script_of(chr(c)) for c in range(0x250)}
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Of each code point its script's place in ``SCRIPTS``; their number for any other."""
+    at = np.maximum(np.searchsorted(_STARTS, codes, "right") - 1, 0)
+    return np.where((codes >= _STARTS[at]) & (codes <= _ENDS[at]), _KINDS[at], len(NAMES))
 
 
-def letters(word: str) -> str:
-    """The word's letters, lower-cased."""
-    return (word if word.isalpha() else "".join(filter(str.isalpha, word))).lower()
-
-
-def word_script(word: str) -> int:
-    """The commonest script among the letters."""
-    found = [_of[c] if c in _of else script_of(c) for c in word]
-    return max(set(found), key=lambda s: (found.count(s), -s))
-
-
-def grams(word: str) -> list[int]:
-    w = f"\x02{word}\x03"
-    return [(ord(w[i]) * 7919 + ord(w[i + 1]) * 263 + ord(w[i + 2])) * 2654435761 % (1 << 32) % BUCKETS for i in range(len(w) - 2)]
+def describe(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some words (with letters): trigram buckets, the word of each trigram, number of letters, commonest script."""
+    joined = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32)
+    size = np.array([len(w) for w in words])
+    h = (joined[:-2] * np.uint32(7919) + joined[1:-1] * np.uint32(263) + joined[2:]) * np.uint32(2654435761)
+    word = np.repeat(np.arange(len(words)), size + 2)
+    whole = word[:-2] == word[2:]
+    buckets = (h >> np.uint32(7)).astype(np.int64) % BUCKETS
+    inner = (joined != 2) & (joined != 3)
+    per = np.bincount(word[inner] * (len(NAMES) + 1) + scripts_of(joined[inner]), minlength=len(words) * (len(NAMES) + 1)).reshape(len(words), -1)
+    return buckets[whole], word[:-2][whole], size, per.argmax(1)
 
 
 class Model:
@@ -77,43 +80,35 @@ class Model:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-        self.sizes: list[int] = []
-        self.flat: np.ndarray | None = None
-
-    def place(self, word: str) -> int:
-        own, k = letters(word), len(self.languages)
-        if own:
-            score = self.table[grams(own)].sum(0).clip(-8, 8)
-            may = self.uses[word_script(own)]
-            score = np.where(may, score, -20.0) if may.any() else np.zeros(k)
-        else:
-            score = np.zeros(k)
-        self.at[word] = i = len(self.scores)
-        self.scores.append(score)
-        self.sizes.append(len(own))
-        return i
+        self.scores = np.zeros((1 << 16, len(self.languages)))
+        self.sizes = np.zeros(1 << 16, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Score words not met before.  A script that no language uses says nothing."""
+        n = len(self.at)
+        while len(self.scores) < n + len(words):
+            self.scores, self.sizes = np.concatenate((self.scores, np.zeros_like(self.scores))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        plain = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
+        some = np.array([i for i, w in enumerate(plain) if w], np.int64)
+        if not len(some):
+            return
+        buckets, word, size, script = describe([plain[i] for i in some])
+        score = np.add.reduceat(self.table[buckets], np.flatnonzero(np.diff(word, prepend=-1))).clip(-8, 8)
+        may = self.uses[script]
+        score = np.where(may.any(1, keepdims=True), np.where(may, score, -20.0), 0.0)
+        self.scores[n + some], self.sizes[n + some] = score, size
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of scores and the number of letters for each word."""
-        if len(self.at) > CACHE:
+        new = list(set(words).difference(self.at))
+        if len(self.at) + len(new) > CACHE:
             self.forget()
-        for w in set(words).difference(self.at):
-            self.place(w)
+            new = list(set(words))
+        if new:
+            self.learn(new)
         idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        if self.flat is None or len(self.flat) < len(self.scores):
-            if self.flat is None or len(self.flat) < len(self.scores) - 1:
-                have = 0 if self.flat is None else self.filled
-                grown = np.zeros((max(1024, 2 * len(self.scores)), len(self.languages)))
-                sizes = np.zeros(len(grown), np.int64)
-                if have:
-                    grown[:have], sizes[:have] = self.flat[:have], self.lens[:have]
-                self.flat, self.lens, self.filled = grown, sizes, have
-        if self.filled < len(self.scores):
-            self.flat[self.filled : len(self.scores)] = self.scores[self.filled :]
-            self.lens[self.filled : len(self.scores)] = self.sizes[self.filled :]
-            self.filled = len(self.scores)
-        return self.flat[idx], self.lens[idx]
+        return self.scores[idx], self.sizes[idx]
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best label for each word: the sum of scores less ``switch`` for each change is greatest."""
@@ -137,25 +132,42 @@ class Model:
             out[t - 1] = back[t, out[t]]
         return out
 
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """Of each text its language, score from 0 to 1, and spans (first word, word after the last, language)."""
+        cut = [words_of(t) for t in texts]
+        ends = np.cumsum([len(w) for w in cut]).tolist()
+        if not self.languages or not ends or not ends[-1]:
+            return [(UNDETERMINED, 0.0, [])] * len(texts)
+        s, sizes = self.lookup([w for own in cut for w in own])
+        return [self._label(s[b - len(own) : b], sizes[b - len(own) : b]) for own, b in zip(cut, ends, strict=True)]
+
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, score from 0 to 1, spans (first word, word after the last, language)."""
-        words = text.split() if text else []
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0, []
-        s, sizes = self.lookup(words)
+        return self.labels([text])[0]
+
+    def _label(self, s: np.ndarray, sizes: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
         if not sizes.any():
             return UNDETERMINED, 0.0, []
         path = self.path(s)
         share = np.bincount(path, weights=sizes, minlength=len(self.languages))
         total = s.sum(0)
         best = max(range(len(self.languages)), key=lambda k: (share[k], total[k], self.languages[k]))
-        odds = np.exp(np.clip(total - total[best], -700, 700))
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         spans = [(a, b, self.languages[int(path[a])]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        sure = 1.0 / odds.sum() if len(spans) == 1 else 1.0
+        sure = 1.0 / np.exp(np.clip(total - total[best], -700, 700)).sum() if len(spans) == 1 else 1.0
         return self.languages[best], float(share[best] / share.sum() * sure), spans
 
 
+_kept: dict[str, Model] = {}
+
+
+def _worker_model(key: str, parts: tuple) -> Model:
+    """A worker's model with the words it has met, kept from task to task; one at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Model(*parts, 1.0)
+    return _kept[key]
+
+
 def train(docs: DataFrame, rows: Column, sample: int = 8000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options: float) -> Model:
     """Learn from the rows for which ``rows`` holds and language and text aren't null.
 
@@ -168,18 +180,17 @@ def train(docs: DataFrame, rows: Column, sample: int = 8000, lang_col: str = "la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, dict[str, int]] = {}
+            seen: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = seen.setdefault(lang, {})
-                for w in text.split():
-                    own[w] = own.get(w, 0) + 1
+                seen.setdefault(lang, Counter()).update(words_of(text))
             out: list[tuple[str, int, int]] = []
             for lang, own in seen.items():
-                counts = np.zeros(BUCKETS + len(NAMES) + 1, np.int64)
-                for w, c in own.items():
-                    if w := letters(w):
-                        np.add.at(counts, grams(w), c)
-                        counts[BUCKETS + word_script(w)] += c * len(w)
+                met = [(w, c) for w, c in own.items() if w.isalpha()]
+                if not met:
+                    continue
+                n = np.array([c for _, c in met])
+                buckets, word, size, script = describe([w for w, _ in met])
+                counts = np.bincount(buckets, n[word], BUCKETS + len(NAMES) + 1) + np.bincount(BUCKETS + script, n * size, BUCKETS + len(NAMES) + 1)
                 out += [(lang, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
             langs, at, n = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["lang", "at", "n"])
@@ -201,16 +212,15 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     ``und`` with score 0 and no spans where the text is null or has no letter (or nothing was learned).
     Repeated rows and null ids are kept.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch))
+    sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, tab, uses, switch = sent.value
-        own = Model(languages, tab, uses, switch, 1.0)
+        own = _worker_model(key, sent.value)
         span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                got = [own.label(t) for t in part.column("text").to_pylist()]
+                got = own.labels(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([[dict(zip(("first", "after", "lang"), x, strict=True)) for x in g[2]] for g in got], span)], names=["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -219,15 +229,14 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """The documents whose language could be told with a score of at least ``least``, all columns kept."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch))
+    sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, tab, uses, switch = sent.value
-        own = Model(languages, tab, uses, switch, 1.0)
+        own = _worker_model(key, sent.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                got = [own.label(t) for t in part.column(text_col).to_pylist()]
+                got = own.labels(part.column(text_col).to_pylist())
                 yield part.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
