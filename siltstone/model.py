@@ -21,6 +21,8 @@ class _Unset:
 
 #: "Not given", so that None stays a legal key, bound, tag, default or value.
 UNSET = _Unset()
+#: All namespaces.
+ANY = object()
 
 IS_TAGGED, TAG, SEQ, TOMBSTONE = "is_tagged", "tag", "seq", "is_tombstone"
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from siltstone.model import UNSET
+from siltstone.model import ANY, UNSET
 from siltstone.plans.levels import less
 from siltstone.sources.manifest import Segment
 
 
 def may_hold_tag(f: Segment, tag: object) -> bool:
-    return f.tags is None or (False if tag is UNSET else [True, tag]) in [x if x is False else list(x) for x in f.tags]
+    return tag is ANY or f.tags is None or (False if tag is UNSET else [True, tag]) in [x if x is False else list(x) for x in f.tags]
 
 
 def for_range(files: Iterable[Segment], low: object, high: object, tag: object, seq: int | None) -> list[Segment]:
