@@ -33,7 +33,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HOLDERS = frozenset("article main section nav header footer aside form div ul ol table figure details dialog menu address blockquote a button label".split())
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
-LEAST = -8.0  # of one stretch of words, so that an advert can't split an article
+# The least score of one stretch of words, so that an advert can't split a text; and of one within an
+# article or main element, where even one word after it must outweigh it.
+LEAST, LEAST_INSIDE = -8.0, -1.0
 MAIN = re.compile(r"<(?:article|main)\b", re.I)  # where a page has either, words outside them bear the sign "out"
 MARK = re.compile(r"data-(main|rest)\b")
 
@@ -134,7 +136,7 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
             n = len(what[1].split())
             if (score := known.get(what[2])) is None:
                 score = known[what[2]] = weights.word(what[2])
-            items.append((max(score * n, LEAST), what[1], False))
+            items.append((max(score * n, LEAST_INSIDE if what[2] & {"<article", "<main"} else LEAST), what[1], False))
     best = total = 0.0
     first = start = 0
     last = -1
@@ -144,6 +146,13 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
             best, first, last = total, start, i
         if total <= 0:
             total, start = 0.0, i + 1
+    if last < 0:
+        return ""
+    # The region takes whole blocks: a link at a paragraph's edge belongs to it.
+    while first and not items[first - 1][2]:
+        first -= 1
+    while last + 1 < len(items) and not items[last + 1][2]:
+        last += 1
     blocks, own, score = [], [], 0.0
     for s, text, breaks in [*items[first : last + 1], (0.0, None, True)]:
         if text is not None:
