@@ -15,21 +15,22 @@ from siltstone.sources.files import Files
 from siltstone.sources.manifest import Segment
 
 FOLDER, MOST_TAGS = "segments", 64
+#: Rows of a file at most, about, where its bytes aren't known before it is written.
+ROWS_PER_FILE = 2_000_000
 
 
-def write(files: Files, layout: Layout, rows: DataFrame, level: int, max_size: int, fpp: float, expected_bytes: int | None = None, in_order: bool = True) -> list[Segment]:
+def write(files: Files, layout: Layout, rows: DataFrame, level: int, max_size: int, fpp: float, expected_bytes: int = 0, expected_rows: int = 0) -> list[Segment]:
     """Write log rows as files sorted by (namespace, key, newest first), range-partitioned, and read their bounds.
 
-    Files are cut near ``max_size`` bytes by the expected size.  Level 2 and deeper are compressed harder.
+    Files are cut near ``max_size`` bytes by the expected size, or by rows where only those are known.  Level 2 and deeper are compressed harder.
     Rows of one key stay in one file.  Nothing counts until a manifest lists it, so a failed job leaves
     only files that vacuum removes.
     """
     folder = f"{FOLDER}/{level}-{uuid.uuid4().hex}"
     order = [F.col(IS_TAGGED).asc(), F.col(TAG).asc_nulls_first(), *(F.col(k).asc_nulls_first() for k in layout.key_names)]
-    if in_order:
-        n = max(1, -(-(expected_bytes or 0) // max(max_size, 1)))
-        rows = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, *order)
-        rows = rows.sortWithinPartitions(*order, F.desc(SEQ))
+    n = max(1, -(-expected_bytes // max(max_size, 1)), -(-expected_rows // ROWS_PER_FILE))
+    rows = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, *order)
+    rows = rows.sortWithinPartitions(*order, F.desc(SEQ))
     out = rows.select(*layout.schema.names).write.option("compression", "zstd" if level > 1 else "snappy")
     out = out.option("parquet.bloom.filter.enabled", "false")
     for f in layout.keys:
