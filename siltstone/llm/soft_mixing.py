@@ -35,7 +35,7 @@ def _words(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Words in lower case without the signs around them, for the lexicons."""
-    return F.split(F.regexp_replace(F.lower(text), r"[\s\p{Punct}]+", " "), " ")
+    return F.split(F.lower(text), r"[\s\p{Punct}]+")
 
 
 class Classifier:
@@ -45,14 +45,19 @@ class Classifier:
         self.domains, self.lexicons, self.weights = domains, lexicons, weights
 
     @staticmethod
-    def inputs(text: Column, lexicons: list[list[str]]) -> list[Column]:
-        """1, then shares of capitals, of signs, of distinct words; word length; number of words; lexicon hits."""
+    def inputs(rows: DataFrame, text: str, lexicons: list[list[str]]) -> tuple[DataFrame, list[Column]]:
+        """Rows with what the inputs are made from, and the inputs.
+
+        1; shares of capitals, of signs, of distinct words; word length; number of words; lexicon hits.
+        Word arrays and the words of any lexicon are columns of their own, so they are made once.
+        """
+        known = sorted({w for own in lexicons for w in own})
+        rows = rows.withColumns({"_words": _words(F.col(text)), "_hits": F.array_intersect(_plain(F.col(text)), _strings(known)) if known else F.array().cast("array<string>")})
         n = F.greatest(F.length(text), F.lit(1)).cast("double")
-        words = _words(text)
-        some = F.greatest(F.size(words), F.lit(1)).cast("double")
+        some = F.greatest(F.size("_words"), F.lit(1)).cast("double")
         share = lambda rest: F.length(F.regexp_replace(text, rest, "")) / n
-        hits = [F.log1p(F.size(F.array_intersect(_plain(text), F.split(F.lit(" ".join(x)), " "))).cast("double")) if x else F.lit(0.0) for x in lexicons]
-        return [F.lit(1.0), 3 * share("[^A-Z]+"), 3 * share(r"[^!-/:-@\[-`{-~]+"), F.size(F.array_distinct(words)) / some, F.log1p(n / some), F.log1p(some) / 5, *hits]
+        hits = [F.log1p(F.size(F.array_intersect("_hits", _strings(own))).cast("double")) if own else F.lit(0.0) for own in lexicons]
+        return rows, [F.lit(1.0), 3 * share("[^A-Z]+"), 3 * share(r"[^!-/:-@\[-`{-~]+"), F.size(F.array_distinct("_words")) / some, F.log1p(n / some), F.log1p(some) / 5, *hits]
 
     def one(self, inputs: list[Column], i: int) -> Column:
         own = self.weights[i]
@@ -67,6 +72,10 @@ class Classifier:
         return [x / sum(ones[1:], ones[0]) for x in ones]
 
 
+def _strings(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def _ints(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
@@ -114,9 +123,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
         p = sizes.get(d, 0) / total
         z = (F.col(f"in_{i}") - F.col("all") * p) / F.sqrt(F.col("all") * max(p * (1 - p), 1e-9))
         lexicons.append([r["word"] for r in seen.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()])
-    inputs = Classifier.inputs(F.col("text"), lexicons)
-    k = len(inputs)
-    x = materialise(held.select("domain", F.array(*inputs).alias("v")), "inputs").coalesce(4)
+    wide, inputs = Classifier.inputs(held, "text", lexicons)
+    x = materialise(wide.select("domain", F.array(*inputs).alias("v")), "inputs").coalesce(4)
     k = len(inputs)
     weights = [[math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)), *[0.0] * (k - 1)] for d in domains]
     # Entries (a, b) of each second-derivative matrix; (a, -1) of each gradient.
@@ -167,8 +175,8 @@ class Mix:
 def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns, _tokens, and _p: the posteriors on the grid.  A null text counts as empty."""
     held = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    inputs = Classifier.inputs(F.col("_text"), model.lexicons)
-    wide = held.select(*keep, F.size(_words(F.col("_text"))).cast("bigint").alias("_tokens"), *(c.alias(f"_x{i}") for i, c in enumerate(inputs)))
+    made, inputs = Classifier.inputs(held, "_text", model.lexicons)
+    wide = made.select(*keep, F.size("_words").cast("bigint").alias("_tokens"), *(c.alias(f"_x{i}") for i, c in enumerate(inputs)))
     p = F.array(*model.posterior([F.col(f"_x{i}") for i in range(len(inputs))]))
     return wide.select(*keep, "_tokens", F.transform(p, lambda v: F.round(v * GRID) / GRID).alias("_p"))
 
