@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Rows a partition of an ordered layout holds at most, on average.
 ROWS_PER_PARTITION = 8192
 _LEAST = -(1 << 63)
@@ -120,6 +125,26 @@ def ordered(df: DataFrame, key: str, columns: list[str], following: bool = False
     return out.repartitionById(n, F.col("_part")).sortWithinPartitions(*lead, key, *rest), n
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """Something large that a Python worker keeps from task to task: one thing a worker, the last asked for."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps, before a task that needs the room for something else."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and where each value starts (n + 1 offsets); nulls count as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

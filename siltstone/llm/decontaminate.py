@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, mix64, span_hashes, utf8
+from siltstone.llm.common import materialise, mix64, release, span_hashes, utf8
 from siltstone.llm.token_counts import slices
 
 K, W = 5, 4
@@ -190,6 +190,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, item_col: str = "item_i
         sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            release()
             index = ItemIndex(*sent.value)
             for batch in batches:
                 data, offsets = utf8(batch.column(text_col))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import kept
+
 
 # First and last code point of the blocks of each script.
 SCRIPTS = {
@@ -157,15 +159,9 @@ class Model:
         return self.languages[best], float(share[best] / share.sum() * sure), spans
 
 
-_kept: dict[str, Model] = {}
-
-
 def _worker_model(key: str, parts: tuple) -> Model:
-    """A worker's model with the words it has met, kept from task to task; one at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Model(*parts, 1.0)
-    return _kept[key]
+    """A worker's model with the words it has met."""
+    return kept(key, lambda: Model(*parts, 1.0))
 
 
 def train(docs: DataFrame, rows: Column, sample: int = 8000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options: float) -> Model:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, mix64, utf8
+from siltstone.llm.common import materialise, mix64, release, utf8
 from siltstone.llm.decontaminate import kgrams, words
 from siltstone.llm.token_counts import slices
 
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
     """id, n (shingles), same (a 128-bit digest of the shingle set), keys (a prefix hash for each tree)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(np.diff(offsets).tolist(), SLICE):
@@ -118,6 +119,7 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
     """id and the shingle set of each text, as ascending 64-bit integers in a binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(np.diff(offsets).tolist(), SLICE):
@@ -236,6 +238,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sets = materialise(sets.join(classes.select(F.col("rep").alias("id"), "keys", "copies"), "id"), "shingles")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        release()
         tree, _, i, j = key
         ids = part["id"].to_numpy(np.int64)
         own = [np.frombuffer(x, np.uint64) for x in part["shingles"]]

@@ -22,7 +22,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fresh_dir, open_fs, ordered, utf8, write_whole
+from siltstone.llm.common import fresh_dir, kept, open_fs, ordered, utf8, write_whole
 from siltstone.llm.token_counts import slices
 
 MAGIC, BLOCK, CACHE = b"PKIDS\0\0\1", 1 << 16, 400_000
@@ -110,10 +109,9 @@ class WordEncoder:
         return [b"".join(map(get, x)) for x in cut]
 
 
-@lru_cache(1)
 def encoder(path: str) -> WordEncoder:
     """A worker's encoder, kept from task to task."""
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 class ShardWriter:
