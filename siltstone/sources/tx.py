@@ -194,7 +194,7 @@ class Tx:
             self.check()
             return {}
         if len(wanted) > resolve.INLINE_KEYS:
-            frame = self.store.spark.createDataFrame(wanted, _key_schema(layout))
+            frame = self.store.spark.createDataFrame(wanted, key_schema(layout))
             rows = resolve.get_multi(self._log(None, tag), frame, layout.key_names, tag)
         else:
             log = self._log(wanted, tag).where(resolve.namespace(tag)).where(resolve.matches(layout.key_names, wanted))
@@ -235,6 +235,6 @@ def _hashable(key: object) -> object:
     return tuple(_hashable(k) for k in key) if isinstance(key, (list, tuple)) else key
 
 
-def _key_schema(layout: Layout) -> T.StructType:
+def key_schema(layout: Layout) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in layout.keys])
 
