@@ -26,11 +26,11 @@ from siltstone.llm.common import materialise
 
 GRID, STEPS, TOLERANCE, LEXICON = 1000, 60, 1e-4, 64
 LABELLED_ROWS = 6000
-BLANKS = "\t\n\v\f\r"
+BLANK = r"[ \t\n\x0B\f\r]"
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(text, BLANK), "")
 
 
 def _plain(text: Column) -> Column:
@@ -55,9 +55,9 @@ class Classifier:
         rows = rows.withColumns({"_words": _words(F.col(text)), "_hits": F.array_intersect(_plain(F.col(text)), _strings(known)) if known else F.array().cast("array<string>")})
         n = F.greatest(F.length(text), F.lit(1)).cast("double")
         some = F.greatest(F.size("_words"), F.lit(1)).cast("double")
-        share = lambda rest: F.length(F.regexp_replace(text, rest, "")) / n
+        share = lambda those: (F.length(text) - F.length(F.regexp_replace(text, those, ""))) / n
         hits = [F.log1p(F.size(F.array_intersect("_hits", _strings(own))).cast("double")) if own else F.lit(0.0) for own in lexicons]
-        return rows, [F.lit(1.0), 3 * share("[^A-Z]+"), 3 * share(r"[^!-/:-@\[-`{-~]+"), F.size(F.array_distinct("_words")) / some, F.log1p(n / some), F.log1p(some) / 5, *hits]
+        return rows, [F.lit(1.0), 3 * share("[A-Z]+"), 3 * share(r"[!-/:-@\[-`{-~]+"), F.size(F.array_distinct("_words")) / some, F.log1p(n / some), F.log1p(some) / 5, *hits]
 
     def one(self, inputs: list[Column], i: int) -> Column:
         own = self.weights[i]
