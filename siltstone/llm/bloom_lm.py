@@ -2,9 +2,12 @@
 
 The filter holds word and word-pair counts on a log scale: a count of level q is stored as q members
 (n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing.  It is cut
-into blocks by the n-gram's hash; a block's bits come from the n-grams of that block alone, so blocks
-are built by separate tasks.  Its size has a fixed bound, so it may be broadcast whatever the corpus:
-where a block's n-grams don't fit at the wanted load, the lowest levels are left out.
+into cells by the n-gram's hash, and a cell into blocks; the cells grow with the text and a cell's blocks
+with its members, so every count is stored whatever the corpus, and no task or driver holds more than a
+cell.  Probes are routed to the cells: a slice of documents sends each cell its distinct n-grams and how
+often they occur for training; the cell sums these up, builds its blocks and answers with the levels
+found there, a byte each.  Slices are given by a hash of the row, so they are the same when the answers
+come back to the texts.
 
 Words are known by a 64-bit hash of their bytes.  Exact word counts (for the base score) stay
 distributed: the ``HEAD`` most frequent are broadcast, all others joined by hash.
@@ -13,16 +16,13 @@ distributed: the ``HEAD`` most frequent are broadcast, all others joined by hash
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise, mix64, span_hashes, utf8
-from siltstone.llm.token_counts import slices
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -30,8 +30,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 START, END = np.uint64(0x5BD1E995A54FF53A), np.uint64(0x3C6EF372FE94F82B)
 BASE, LEVELS, PROBES = 1.5, 64, 3
-BLOCK_BITS, MAX_BITS, BITS_A_MEMBER = 1 << 19, 1 << 28, 8
-HEAD, SLICE = 1 << 18, 2 << 20
+BLOCK_BITS, BITS_A_MEMBER = 1 << 19, 8
+#: Bytes of text a slice has, and for which there is a cell, on average.
+HEAD, SLICE, CELL = 1 << 18, 2 << 20, 4 << 20
 PSEUDO = 0.1
 
 
@@ -98,7 +99,8 @@ class LogBloom:
         self.bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8) if bits is None else bits
 
     def block(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - 20)).astype(np.int64) % self.blocks
+        """The block of each n-gram, by bits that don't tell its cell."""
+        return (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.blocks
 
     @staticmethod
     def places(h: np.ndarray, level: int) -> list[np.ndarray]:
@@ -107,18 +109,31 @@ class LogBloom:
 
     @staticmethod
     def build_block(h: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """One block's bytes; the lowest levels stay out as far as its members would not fit."""
-        members = np.bincount(q, weights=q, minlength=LEVELS + 1)[::-1].cumsum()[::-1]
-        least = int(np.argmax(members <= BLOCK_BITS // BITS_A_MEMBER))
-        h, q = h[q >= least], q[q >= least]
+        """One block's bytes."""
         bits = np.zeros(BLOCK_BITS, bool)
         for level in range(1, int(q.max(initial=0)) + 1):
             for at in LogBloom.places(h[q >= level], level):
                 bits[at] = True
         return np.packbits(bits, bitorder="little")
 
+    @classmethod
+    def build(cls, h: np.ndarray, q: np.ndarray, room: int) -> LogBloom:
+        """A filter with a block for each ``room`` members."""
+        out = cls(max(1, -(-int(q.sum()) // room)))
+        block = out.block(h)
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(out.blocks + 1))
+        for i in range(out.blocks):
+            own = order[cuts[i] : cuts[i + 1]]
+            out.bits[i * BLOCK_BITS // 8 : (i + 1) * BLOCK_BITS // 8] = cls.build_block(h[own], q[own])
+        return out
+
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """The count stored for each n-gram: probes level after level, for those still present."""
+        """The count stored for each n-gram."""
+        return COUNT_OF[self.levels(h)]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level stored for each n-gram: probes level after level, for those still present."""
         q, left = np.zeros(len(h), np.int64), np.arange(len(h))
         own, start = h, self.block(h) * BLOCK_BITS
         for level in range(1, LEVELS + 1):
@@ -130,137 +145,126 @@ class LogBloom:
             if not len(left):
                 break
             q[left] = level
-        return COUNT_OF[q]
-
-
-def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, h, n): word counts (kind 1) and word-pair counts (kind 2) of all texts, exact sums over the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = utf8(batch.column(0))
-            for a, b in slices(np.diff(at).tolist(), SLICE):
-                w, n = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                p = pairs(before_each(w, n), w)
-                for kind, h, more in ((1, w, len(n)), (2, p, 0)):
-                    own, c = np.unique(h, return_counts=True)
-                    if more:
-                        own, c = np.append(own, START), np.append(c, more)
-                    for i in range(0, len(own), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[i : i + (1 << 16)]), kind, np.int32)), pa.array(own[i : i + (1 << 16)].view(np.int64)), pa.array(c[i : i + (1 << 16)].astype(np.int64))], names=["kind", "h", "n"])
-
-    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "kind int, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-
-
-def build_filter(counts: DataFrame, min_pair_count: int = 2) -> LogBloom:
-    """Build the filter's blocks in tasks of their own and gather them (at most MAX_BITS bits).
-
-    Word pairs below ``min_pair_count`` aren't stored.
-    """
-    kept = counts.where((F.col("kind") == 1) | (F.col("n") >= min_pair_count))
-    members = kept.agg(F.sum(1 + F.floor(F.log(F.col("n").cast("double")) / math.log(BASE)))).first()[0] or 0
-    blocks = max(1, min(MAX_BITS, 1 << max(0, int(members * BITS_A_MEMBER - 1).bit_length())) // BLOCK_BITS)
-    hashed = F.shiftrightunsigned("h", 44) % blocks
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hs, qs, have = None, [], [], 0
-        room = BLOCK_BITS // BITS_A_MEMBER
-
-        def squeeze() -> None:  # what can't be kept in the end needn't be held
-            nonlocal hs, qs, have
-            h, q = np.concatenate(hs), np.concatenate(qs)
-            members = np.bincount(q, weights=q, minlength=LEVELS + 1)[::-1].cumsum()[::-1]
-            least = int(np.argmax(members <= room))
-            hs, qs = [h[q >= least]], [q[q >= least]]
-            have = len(hs[0])
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([LogBloom.build_block(np.concatenate(hs), np.concatenate(qs)).tobytes()], pa.binary())], names=["block", "bits"])
-
-        for batch in batches:
-            bs = batch.column("block").to_numpy()
-            h, q = batch.column("h").to_numpy().view(np.uint64), levels(batch.column("n").to_numpy())
-            cuts = [0, *(np.flatnonzero(np.diff(bs)) + 1).tolist(), len(bs)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if bs[a] != block:
-                    if hs:
-                        yield done()
-                    block, hs, qs, have = int(bs[a]), [], [], 0
-                hs.append(h[a:b])
-                qs.append(q[a:b])
-                have += b - a
-                if have > 4 * room:
-                    squeeze()
-        if hs:
-            yield done()
-
-    built = kept.select(hashed.alias("block"), "h", "n").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(run, "block bigint, bits binary").collect()
-    out = LogBloom(blocks)
-    for r in built:
-        out.bits[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return q
+
+
+class Slice:
+    """The n-grams of some texts: the distinct words (and START) ``u`` and pairs ``p``, and each token's place there."""
+
+    def __init__(self, text: pa.ChunkedArray) -> None:
+        w, self.n = tokens(*utf8(text))
+        self.first = np.cumsum(self.n) - self.n
+        self.u, back = np.unique(np.append(w, START), return_inverse=True)
+        self.word, self.start = back[:-1], back[-1]
+        self.prev = np.empty_like(self.word)
+        self.prev[1:] = self.word[:-1]
+        self.prev[self.first] = self.start
+        self.p, self.pair = np.unique(pairs(before_each(w, self.n), w), return_inverse=True)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+
+
+def cut(h: np.ndarray, cells: int) -> np.ndarray:
+    """Where the cells of ascending hashes start (cells + 1 places): ranges of the upper 32 bits."""
+    return np.searchsorted((h >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32), np.arange(cells + 1, dtype=np.uint64))
+
+
+def ask(slice_id: int, text: pa.ChunkedArray, train: np.ndarray, cells: int) -> pa.Table:
+    """A slice's rows for the cells: n-grams, first the words, and their counts in training texts (by planes of bytes)."""
+    own = Slice(text)
+    counted = train[own.doc].astype(float)
+    cu = np.bincount(own.word, weights=counted, minlength=len(own.u))
+    cu[own.start] += train.sum()
+    cp = np.bincount(own.pair, weights=counted, minlength=len(own.p))
+    at_u, at_p = cut(own.u, cells), cut(own.p, cells)
+    out: list[tuple] = []
+    for i in np.flatnonzero((np.diff(at_u) > 0) | (np.diff(at_p) > 0)).tolist():
+        u, p = slice(at_u[i], at_u[i + 1]), slice(at_p[i], at_p[i + 1])
+        c = np.concatenate((cu[u], cp[p])).astype("<u4")
+        out.append((i, slice_id, int(at_u[i + 1] - at_u[i]), np.concatenate((own.u[u], own.p[p])).tobytes(), c.view(np.uint8).reshape(-1, 4).T.tobytes()))
+    kinds = {"cell": pa.int32(), "slice": pa.int64(), "words": pa.int32(), "h": pa.binary(), "c": pa.binary()}
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def answer(asked: pa.Table, min_pair_count: int, room: int) -> pa.Table:
+    """A cell's levels for the n-grams of each slice; and one row with its words and their counts."""
+    hs = [np.frombuffer(x, np.uint64) for x in asked.column("h").to_pylist()]
+    size, words = np.array([len(x) for x in hs]), asked.column("words").to_numpy()
+    c = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in asked.column("c").to_pylist()])
+    ends = np.cumsum(size)
+    is_word = np.arange(len(c)) - np.repeat(ends - size, size) < np.repeat(words, size)
+    h, back = np.unique(np.concatenate(hs), return_inverse=True)
+    n = np.bincount(back, weights=c, minlength=len(h)).astype(np.int64)
+    word = np.zeros(len(h), bool)
+    word[back[is_word]] = True
+    stored = (n > 0) & (word | (n >= min_pair_count))
+    found = LogBloom.build(h[stored], levels(n[stored]), room).levels(h).astype(np.uint8)[back]
+    own = word & (n > 0) & (h != START)
+    k = len(hs)
+    return pa.table({
+        "slice": pa.concat_arrays([asked.column("slice").combine_chunks(), pa.array([None], pa.int64())]),
+        "cell": pa.concat_arrays([asked.column("cell").combine_chunks(), pa.array([None], pa.int32())]),
+        "words": pa.concat_arrays([asked.column("words").combine_chunks(), pa.array([None], pa.int32())]),
+        "levels": pa.array([*(found[b - s : b].tobytes() for b, s in zip(ends.tolist(), size.tolist(), strict=True)), None], pa.binary()),
+        "word_h": pa.array([None] * k + [h[own].view(np.int64)], pa.list_(pa.int64())),
+        "word_n": pa.array([None] * k + [n[own]], pa.list_(pa.int64())),
+    })
+
+
+def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text", min_pair_count: int = 2) -> DataFrame:
     """Scores of every document by the counts of those for which ``train`` holds.
 
     Returns id, n_tokens, n_known, train_tokens, base_score and score.  ``score`` sums log10 of
     (c(previous, word) + s p(word)) / (c(previous) + s), p by the filter's word counts, s the smoothing.
     Null texts count as empty (one token, the end).  Repeated rows and ids stay apart.  Without training
-    rows every count is 0 and N = V = 0.
+    rows every count is 0 and N = V = 0.  Word pairs below ``min_pair_count`` aren't stored.
     """
     spark = docs.sparkSession
-    counts = materialise(ngram_counts(docs.where(train), text_col), "ngrams")
-    words = counts.where((F.col("kind") == 1) & (F.col("h") != int(START.astype(np.int64)))).select("h", "n")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    cells, room = max(1, -(-size // CELL)), BLOCK_BITS // BITS_A_MEMBER
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // SLICE)))))
+
+    def ask_cells(key: tuple, part: pa.Table) -> pa.Table:
+        return ask(key[0].as_py(), part.column("text"), part.column("train").to_numpy(), cells)
+
+    def answer_slices(part: pa.Table) -> pa.Table:
+        return answer(part, min_pair_count, room)
+
+    asked = rows.groupBy("slice").applyInArrow(ask_cells, "cell int, slice bigint, words int, h binary, c binary")
+    answers = materialise(asked.groupBy("cell").applyInArrow(answer_slices, "slice bigint, cell int, words int, levels binary, word_h array<bigint>, word_n array<bigint>"), "answers")
+    words = answers.where("slice IS NULL").select(F.explode(F.arrays_zip("word_h", "word_n")).alias("t")).select(F.col("t.word_h").alias("h"), F.col("t.word_n").alias("n"))
     n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     share = n_all + PSEUDO * (v + 1)
     head = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
     hh, hc = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(hh)
-    lbf = build_filter(counts)
-    sent = spark.sparkContext.broadcast((hh[order], hc[order], lbf.blocks, lbf.bits))
+    sent = spark.sparkContext.broadcast((np.append(hh[order], np.uint64((1 << 64) - 1)), np.append(hc[order], 0)))
     kinds = {"row": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail_h": pa.list_(pa.int64()), "tail_n": pa.list_(pa.int64())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cs, blocks, bits = sent.value
-        model, row = LogBloom(blocks, bits), TaskContext.get().partitionId() << 40
-        own = np.append(own, np.uint64((1 << 64) - 1))
-        cs = np.append(cs, 0)
-        for batch in batches:
-            data, at = utf8(batch.column("text"))
-            for a, b in slices(np.diff(at).tolist(), SLICE):
-                w, n = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                first = np.cumsum(n) - n
-                prev = before_each(w, n)
-                u, back = np.unique(np.concatenate((w, [START])), return_inverse=True)
-                place = np.searchsorted(own, u)
-                inside = own[place] == u
-                c = np.where(inside, cs[place], 0)
-                base = np.where(inside, np.log10((c + PSEUDO) / share), 0.0)
-                stored = model.counts(u)
-                wi = back[:-1]
-                pi = np.empty_like(wi)
-                pi[1:] = wi[:-1]
-                pi[first] = back[-1]
-                p, p_back = np.unique(pairs(prev, w), return_inverse=True)
-                both = np.minimum(model.counts(p)[p_back], np.minimum(stored[pi], stored[wi]))
-                logp = np.log10((both + smoothing * ((stored + PSEUDO) / share)[wi]) / (stored[pi] + smoothing))
-                doc = np.repeat(np.arange(b - a), n)
-                rare = ~inside[wi]
-                rd, rw = doc[rare], wi[rare]
-                key, kn = np.unique(rd.astype(np.int64) << 32 | rw, return_counts=True)
-                cut = pa.array(np.searchsorted(key, np.arange(b - a + 1, dtype=np.int64) << 32), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(b - a)), batch.column("id").slice(a, b - a), pa.array(n), pa.array(np.add.reduceat((c > 0)[wi].astype(np.int64), first)),
-                    pa.array(np.add.reduceat(base[wi], first)), pa.array(np.add.reduceat(logp, first)),
-                    pa.ListArray.from_arrays(cut, pa.array(u[key & 0xFFFFFFFF].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(kn.astype(np.int64))),
-                ], names=list(kinds))
-                row += b - a
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    scored = materialise(rows.mapInArrow(run, "row bigint, id bigint, n_tokens bigint, known bigint, base double, score double, tail_h array<bigint>, tail_n array<bigint>"), "scored")
+    def run(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
+        common, cs = sent.value
+        own = Slice(part.column("text"))
+        got = got.sort_by("cell")
+        split = [(np.frombuffer(x, np.uint8), k) for x, k in zip(got.column("levels").to_pylist(), got.column("words").to_pylist(), strict=True)]
+        stored, stored_pair = COUNT_OF[np.concatenate([x[:k] for x, k in split])], COUNT_OF[np.concatenate([x[k:] for x, k in split])]
+        place = np.searchsorted(common, own.u)
+        inside = common[place] == own.u
+        c = np.where(inside, cs[place], 0)
+        base = np.where(inside, np.log10((c + PSEUDO) / share), 0.0)
+        both = np.minimum(stored_pair[own.pair], np.minimum(stored[own.prev], stored[own.word]))
+        logp = np.log10((both + smoothing * ((stored + PSEUDO) / share)[own.word]) / (stored[own.prev] + smoothing))
+        rare = ~inside[own.word]
+        tail, kn = np.unique(own.doc[rare].astype(np.int64) << 32 | own.word[rare], return_counts=True)
+        at = pa.array(np.searchsorted(tail, np.arange(len(own.n) + 1, dtype=np.int64) << 32), pa.int32())
+        return pa.table([
+            pa.array((key[0].as_py() << 32) + np.arange(len(own.n))), part.column("id"), pa.array(own.n), pa.array(np.add.reduceat((c > 0)[own.word].astype(np.int64), own.first)),
+            pa.array(np.add.reduceat(base[own.word], own.first)), pa.array(np.add.reduceat(logp, own.first)),
+            pa.ListArray.from_arrays(at, pa.array(own.u[tail & 0xFFFFFFFF].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(kn.astype(np.int64))),
+        ], names=list(kinds))
+
+    told = answers.where("slice IS NOT NULL").select("slice", "cell", "words", "levels")
+    scored = rows.drop("train").groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, "row bigint, id bigint, n_tokens bigint, known bigint, base double, score double, tail_h array<bigint>, tail_n array<bigint>")
+    scored = materialise(scored, "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("k"))
     found = rare.join(words, "h", "left").select(
         "row", F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"),

@@ -315,6 +315,17 @@ def test_stored_counts_are_never_too_low():
     assert [bloom_lm.levels(np.array([c]))[0] for c in (1, 2, 3, 4, 10)] == [1, 2, 3, 4, 6]
 
 
+def test_blocks_grow_with_the_members():
+    """No level is left out, whatever the number of n-grams."""
+    r = np.random.default_rng(2)
+    h = r.integers(0, 1 << 63, 150_000).astype(np.uint64) * np.uint64(2)
+    q = bloom_lm.levels(r.integers(1, 3, 150_000))
+    assert (bloom_lm.LogBloom(1, bloom_lm.LogBloom.build_block(h, q)).counts(h) >= bloom_lm.COUNT_OF[q]).all()
+    f = bloom_lm.LogBloom.build(h, q, bloom_lm.BLOCK_BITS // bloom_lm.BITS_A_MEMBER)
+    assert f.blocks > 2 and (f.counts(h) >= bloom_lm.COUNT_OF[q]).all()
+    assert (f.counts(r.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.08
+
+
 # -- 8
 
 
