@@ -210,7 +210,7 @@ def answer(asked: pa.Table, min_pair_count: int, room: int) -> pa.Table:
     })
 
 
-def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text", min_pair_count: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text", min_pair_count: int = 1) -> DataFrame:
     """Scores of every document by the counts of those for which ``train`` holds.
 
     Returns id, n_tokens, n_known, train_tokens, base_score and score.  ``score`` sums log10 of

@@ -326,6 +326,27 @@ def test_blocks_grow_with_the_members():
     assert (f.counts(r.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.08
 
 
+@pytest.mark.parametrize("cell", [1 << 14, 4 << 20])
+def test_scores_are_those_of_brute_force_counts(spark, docs, texts, monkeypatch, cell):
+    """Counts rounded to levels, in one cell or many; enough bits that hardly any n-gram is found by chance."""
+    monkeypatch.setattr(bloom_lm, "CELL", cell)
+    monkeypatch.setattr(bloom_lm, "SLICE", 4 * cell)
+    monkeypatch.setattr(bloom_lm, "BITS_A_MEMBER", 256)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.lm_scores(docs, ~held).collect()}
+    tok = lambda t: [1, *((t or "").encode().lower().split()), 0]
+    known = [tok(t) for k, t in texts.items() if zlib.crc32(str(k).encode()) % 10]
+    one, two = Counter(w for x in known for w in x), Counter(p for x in known for p in zip(x[:-1], x[1:], strict=True))
+    share = sum(c for w, c in one.items() if w != 1) + 0.1 * len(one)
+    level = lambda c: bloom_lm.COUNT_OF[bloom_lm.levels(np.array([c]))[0]] if c else 0.0
+
+    def logp(a, b):
+        return math.log10((min(level(two[a, b]), level(one[a]), level(one[b])) + 100 * (level(one[b]) + 0.1) / share) / (level(one[a]) + 100))
+
+    want = {k: sum(logp(a, b) for a, b in zip(tok(t)[:-1], tok(t)[1:], strict=True)) for k, t in texts.items()}
+    assert all(abs(got[k] - want[k]) < 1e-3 * abs(want[k]) for k in want), {k: (got[k], want[k]) for k in want}
+
+
 # -- 8
 
 
