@@ -31,7 +31,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned to the domains' shares: rates are at most 1, so a scarce domain is kept whole."""
+    """Documents thinned to the domains' shares: rates are at most 1, good and scarce domains are kept whole."""
     return soft_mixing.thinned(docs, domains(table(spark, sf_dir, "labels")), SHARES)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import materialise
 
 GRID, STEPS, TOLERANCE, LEXICON = 1000, 60, 1e-4, 64
-LABELLED_ROWS = 6000
+LABELLED_ROWS, LEAST_ROWS = 6000, 500
 BLANK = r"[ \t\n\x0B\f\r]"
 
 
@@ -41,8 +41,8 @@ def _plain(text: Column) -> Column:
 class Classifier:
     """One logistic function for each domain over some numbers of a text, scaled to sum to one."""
 
-    def __init__(self, domains: list[str], lexicons: list[list[str]], weights: list[list[float]]) -> None:
-        self.domains, self.lexicons, self.weights = domains, lexicons, weights
+    def __init__(self, domains: list[str], lexicons: list[list[str]], weights: list[list[float]], learned: list[bool]) -> None:
+        self.domains, self.lexicons, self.weights, self.learned = domains, lexicons, weights, learned
 
     @staticmethod
     def inputs(rows: DataFrame, text: str, lexicons: list[list[str]]) -> tuple[DataFrame, list[Column]]:
@@ -101,21 +101,27 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = LABELLED_ROWS, rounds: int = 7, ridge: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Learn from ``labelled`` (id, domain); about ``rows`` of its documents at most, chosen by a hash.
+    """Learn from ``labelled`` (id, domain); about ``rows`` of its documents, chosen by a hash.
 
+    Of a domain that would come to less than ``LEAST_ROWS`` in these, as many more are taken, and weigh less.
     Lexicons are the words whose presence tells a domain most (at most ``LEXICON`` each); the logistic
     functions are fitted by Newton's method, each round one aggregation.  Without labelled rows every
     posterior is equal.
     """
     known = labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("domain").alias("domain"))
-    n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1))))
+    have = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
+    part = min(1.0, rows / max(sum(have.values()), 1))
+    own = {d: min(1.0, max(part, LEAST_ROWS / n)) for d, n in have.items()}
+    bound, weight = F.lit(0), F.lit(1.0)
+    for d, x in own.items():
+        bound, weight = F.when(F.col("domain") == d, int((1 << 30) * x)).otherwise(bound), F.when(F.col("domain") == d, part / x).otherwise(weight)
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held = materialise(texts.join(F.broadcast(chosen), "id"), "labelled")  # a sample of bounded size
     sizes = {r["domain"]: r["count"] for r in held.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
-        return Classifier(domains, [[] for _ in domains], [[0.0] * (6 + len(domains)) for _ in domains])
+        return Classifier(domains, [[] for _ in domains], [[0.0] * (6 + len(domains)) for _ in domains], [False] * len(domains))
     seen = held.select("domain", F.explode(F.array_distinct(_plain(F.col("text")))).alias("word")).where("word <> '' AND length(word) < 40").groupBy("word").agg(F.count(F.lit(1)).alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"in_{i}") for i, d in enumerate(domains)))
     seen = materialise(seen.where(F.col("all") >= 5), "seen").coalesce(4)
     lexicons = []
@@ -124,17 +130,19 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
         z = (F.col(f"in_{i}") - F.col("all") * p) / F.sqrt(F.col("all") * max(p * (1 - p), 1e-9))
         lexicons.append([r["word"] for r in seen.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()])
     wide, inputs = Classifier.inputs(held, "text", lexicons)
-    x = materialise(wide.select("domain", F.array(*inputs).alias("v")), "inputs").coalesce(4)
+    x = materialise(wide.select("domain", weight.alias("w"), F.array(*inputs).alias("v")), "inputs").coalesce(4)
     k = len(inputs)
-    weights = [[math.log((sizes.get(d, 0) + 0.5) / (total - sizes.get(d, 0) + 0.5)), *[0.0] * (k - 1)] for d in domains]
+    weighed = {d: n * part / own[d] for d, n in sizes.items()}
+    total = sum(weighed.values())
+    weights = [[math.log((weighed.get(d, 0) + 0.5) / (total - weighed.get(d, 0) + 0.5)), *[0.0] * (k - 1)] for d in domains]
     # Entries (a, b) of each second-derivative matrix; (a, -1) of each gradient.
     entries = [(a, b) for a in range(k) for b in (-1, *range(a, k))]
     entry = F.explode(F.arrays_zip(_ints([a for a, _ in entries]), _ints([b for _, b in entries])))
     for _ in range(rounds):
         ones = F.array(*(F.struct(F.lit(i).alias("i"), Classifier._sigmoid(_dot(F.col("v"), own)).alias("s"), F.when(F.col("domain") == d, 1.0).otherwise(0.0).alias("y")) for i, (d, own) in enumerate(zip(domains, weights, strict=True))))
-        each = x.select("v", F.explode(ones).alias("o")).select("v", "o", entry.alias("e")).select("o.*", "v", F.col("e.0").alias("a"), F.col("e.1").alias("b"))
+        each = x.select("w", "v", F.explode(ones).alias("o")).select("w", "v", "o", entry.alias("e")).select("o.*", "w", "v", F.col("e.0").alias("a"), F.col("e.1").alias("b"))
         term = F.when(F.col("b") < 0, (F.col("y") - F.col("s"))).otherwise(F.col("s") * (1 - F.col("s")) * F.element_at("v", F.greatest(F.col("b"), F.lit(0)) + 1))
-        got = {(r["i"], r["a"], r["b"]): r["t"] for r in each.groupBy("i", "a", "b").agg(F.sum(term * F.element_at("v", F.col("a") + 1)).alias("t")).collect()}
+        got = {(r["i"], r["a"], r["b"]): r["t"] for r in each.groupBy("i", "a", "b").agg(F.sum(F.col("w") * term * F.element_at("v", F.col("a") + 1)).alias("t")).collect()}
         moved = 0.0
         for i in range(len(domains)):
             keep = lambda a: ridge * total * (a > 0) + 1e-9
@@ -146,7 +154,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
             moved = max(moved, most)
         if moved < 1e-3:
             break
-    return Classifier(domains, lexicons, weights)
+    return Classifier(domains, lexicons, weights, [sizes.get(d, 0) > 0 for d in domains])
 
 
 def _rate(p: Column, steps: list[list[float]], most: float | None) -> Column:
@@ -185,7 +193,9 @@ def fit(scored: DataFrame, model: Classifier, shares: Mapping[str, float], most:
     """Find the steps for documents of ``score``.
 
     shares: each domain's part of the tokens wanted, scaled to sum to one.  The total wanted is that of
-    the documents; with ``most`` (the greatest rate) 1, as much as the scarcest domain allows.
+    the documents.  With ``most`` (the greatest rate) 1 or less, the domain wanted most sets it, so that
+    it stays whole; domains with less than their share stay whole too, and only those with more are
+    thinned.  Domains that weren't learned or have no tokens are left as they are.
     """
     k, whole = len(model.domains), sum(shares.values())
     want = [shares.get(d, 0.0) / whole for d in model.domains]
@@ -199,9 +209,12 @@ def fit(scored: DataFrame, model: Classifier, shares: Mapping[str, float], most:
 
     start = totals(F.lit(1.0))
     total = sum(start)
-    if most is not None and most <= 1:
-        total = min((t / w for t, w in zip(start, want, strict=True) if w), default=total) * most
     targets = [w * total for w in want]
+    if most is not None and most <= 1:
+        there = [a and t > 0 for a, t in zip(model.learned, start, strict=True)]
+        first = max((i for i in range(k) if there[i]), key=lambda i: want[i], default=None)
+        total = start[first] / want[first] if first is not None and want[first] else 0.0
+        targets = [most * (min(t, w * total) if a else t) for t, w, a in zip(start, want, there, strict=True)]
     now, done = start, []
     for _ in range(steps):
         if max((abs(t - g) / max(s, 1.0) for t, g, s in zip(now, targets, start, strict=True)), default=0.0) < TOLERANCE:

@@ -485,6 +485,26 @@ def test_mixing_without_labels_or_texts(spark, docs, empty):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("seen", [("good", "poor", "toxic"), ("good", "poor"), ("good",), ()])
+def test_scarce_domains_do_not_thin_good_documents(spark, monkeypatch, seen):
+    """A rare, a missing and no labelled domain: good and rare documents stay, only the frequent unwanted are thinned."""
+    monkeypatch.setattr(soft_mixing.train, "__defaults__", (200, *soft_mixing.train.__defaults__[1:]))
+    r = random.Random(8)
+    kinds = ["toxic" if i % 200 == 7 else "poor" if i % 4 == 1 else "good" for i in range(4000)]
+    kinds = [d if d in seen or not seen else "good" for d in kinds]
+    rows = [(i, " ".join(f"{d}{r.randrange(20)}" if r.random() < 0.5 else f"w{r.randrange(400)}" for _ in range(40))) for i, d in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, d) for i, d in enumerate(kinds) if seen], "doc_id bigint, domain string")
+    kept = Counter(kinds[x["doc_id"]] for x in soft_mixing.thinned(docs, labels, SHARES).collect())
+    had = Counter(kinds)
+    assert kept["good"] > 0.97 * had["good"]
+    if seen:
+        assert all(kept[d] > 0.85 * had[d] for d in seen if d == "toxic")
+        assert "poor" not in seen or 0.02 * had["good"] < kept["poor"] < 0.1 * had["good"]
+    else:
+        assert kept == had
+
+
 # -- all
 
 
