@@ -16,8 +16,14 @@ from siltstone.llm.queries import SHARES, domains, vocabulary
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
-    return language_id.filter_languages(docs, language_id.train(docs, F.lit(True)))
+    """Documents whose language can be told.
+
+    Those go that have no letters, less than half of them in a script of a learned language, or a score
+    no better than an even split over the languages.
+    """
+    model = language_id.train(docs, F.lit(True))
+    k = len(model.languages)
+    return language_id.filter_languages(docs, model, least=(1 + 1e-6) / k if k > 1 else 0.0, known=0.5)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

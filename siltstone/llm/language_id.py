@@ -84,12 +84,14 @@ class Model:
         self.at: dict[str, int] = {}
         self.scores = np.zeros((1 << 16, len(self.languages)))
         self.sizes = np.zeros(1 << 16, np.int64)
+        self.strange = np.zeros(1 << 16, bool)
 
     def learn(self, words: list[str]) -> None:
         """Score words not met before.  A script that no language uses says nothing."""
         n = len(self.at)
         while len(self.scores) < n + len(words):
             self.scores, self.sizes = np.concatenate((self.scores, np.zeros_like(self.scores))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.strange = np.concatenate((self.strange, np.zeros_like(self.strange)))
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
         plain = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
         some = np.array([i for i, w in enumerate(plain) if w], np.int64)
@@ -99,10 +101,10 @@ class Model:
         score = np.add.reduceat(self.table[buckets], np.flatnonzero(np.diff(word, prepend=-1))).clip(-8, 8)
         may = self.uses[script]
         score = np.where(may.any(1, keepdims=True), np.where(may, score, -20.0), 0.0)
-        self.scores[n + some], self.sizes[n + some] = score, size
+        self.scores[n + some], self.sizes[n + some], self.strange[n + some] = score, size, ~may.any(1)
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row of scores and the number of letters for each word."""
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of scores, the number of letters, and whether no language uses its script, for each word."""
         new = list(set(words).difference(self.at))
         if len(self.at) + len(new) > CACHE:
             self.forget()
@@ -110,7 +112,7 @@ class Model:
         if new:
             self.learn(new)
         idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.scores[idx], self.sizes[idx]
+        return self.scores[idx], self.sizes[idx], self.strange[idx]
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best label for each word: the sum of scores less ``switch`` for each change is greatest."""
@@ -136,12 +138,18 @@ class Model:
 
     def labels(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Of each text its language, score from 0 to 1, and spans (first word, word after the last, language)."""
+        return [own for own, _ in self.told(texts)]
+
+    def told(self, texts: list[str | None]) -> list[tuple[tuple[str, float, list[tuple[int, int, str]]], float]]:
+        """The labels, and the part of each text's letters in words of a script some language uses."""
         cut = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in cut]).tolist()
         if not self.languages or not ends or not ends[-1]:
-            return [(UNDETERMINED, 0.0, [])] * len(texts)
-        s, sizes = self.lookup([w for own in cut for w in own])
-        return [self._label(s[b - len(own) : b], sizes[b - len(own) : b]) for own, b in zip(cut, ends, strict=True)]
+            return [((UNDETERMINED, 0.0, []), 0.0)] * len(texts)
+        s, sizes, strange = self.lookup([w for own in cut for w in own])
+        all_to, used_to = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(sizes * ~strange))
+        parts = [(b - len(own), b) for own, b in zip(cut, ends, strict=True)]
+        return [(self._label(s[a:b], sizes[a:b]), float((used_to[b] - used_to[a]) / max(all_to[b] - all_to[a], 1))) for a, b in parts]
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         return self.labels([text])[0]
@@ -223,8 +231,11 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "id bigint, lang_pred string, score double, spans array<struct<first int, after int, lang string>>").withColumnRenamed("id", id_col)
 
 
-def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The documents whose language could be told with a score of at least ``least``, all columns kept."""
+def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text", known: float = 0.0) -> DataFrame:
+    """The documents whose language could be told with a score of at least ``least``, all columns kept.
+
+    known: the least part of a text's letters in words of a script that some learned language uses.
+    """
     sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +243,7 @@ def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                got = own.labels(part.column(text_col).to_pylist())
-                yield part.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+                got = own.told(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least and used >= known for g, used in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

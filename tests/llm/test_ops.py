@@ -369,6 +369,16 @@ def test_languages_of_mixed_and_odd_texts(spark):
     assert {x["lang_pred"] for x in language_id.label_languages(docs, untrained).collect()} == {"und"}
 
 
+def test_the_pipeline_rejects_texts_of_no_learned_language(spark):
+    import corpus_pipeline
+
+    texts = ["the thing and the other " * 5, "los niños del año pasado " * 5]
+    rows = [(i, texts[i % 2], ("en", "es")[i % 2]) for i in range(40)]
+    rows += [(50, "中文字", None), (51, "中文字 " * 9 + "the", None), (52, "the thing and the other 中文", None), (53, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {x["doc_id"] for x in corpus_pipeline.tell_language(spark, docs, "").collect()} == {*range(40), 52}
+
+
 def test_paths_are_best():
     r = np.random.default_rng(0)
     for _ in range(200):
