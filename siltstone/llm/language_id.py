@@ -39,7 +39,7 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)),
 }
 NAMES = list(SCRIPTS)
-BUCKETS, CACHE = 1 << 15, 600_000
+BUCKETS, CACHE, LEAST_ROWS = 1 << 15, 600_000, 32
 UNDETERMINED = "und"
 _ranges = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
 _STARTS = np.array([a for a, _, _ in _ranges], np.uint32)
@@ -175,12 +175,15 @@ def _worker_model(key: str, parts: tuple) -> Model:
 def train(docs: DataFrame, rows: Column, sample: int = 8000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options: float) -> Model:
     """Learn from the rows for which ``rows`` holds and language and text aren't null.
 
-    About ``sample`` of them at most, chosen by a hash of the id; what comes to the driver is a count
-    for each language and trigram bucket.
+    About ``sample`` of them, as many of each language as far as it has them (and ``LEAST_ROWS`` at
+    least), chosen by a hash of the id; what comes to the driver is a count for each language, and for
+    each language and trigram bucket.
     """
     usable = docs.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    n = usable.select("lang", "id").count()
-    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
+    sizes = usable.groupBy("lang").count().collect()
+    each = max(LEAST_ROWS, sample // max(len(sizes), 1))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, each / r["count"]))) for r in sizes], "lang string, bound bigint")
+    chosen = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -379,6 +379,13 @@ def test_the_pipeline_rejects_texts_of_no_learned_language(spark):
     assert {x["doc_id"] for x in corpus_pipeline.tell_language(spark, docs, "").collect()} == {*range(40), 52}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the thing and the other {i}", "en") for i in range(3000)] + [(5000 + i, "los niños del año pasado", "es") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
+    model = language_id.train(docs, F.lit(True), sample=40)
+    assert model.languages == ["en", "es"] and model.label("del año pasado los niños")[0] == "es"
+
+
 def test_paths_are_best():
     r = np.random.default_rng(0)
     for _ in range(200):
