@@ -1,9 +1,9 @@
 """N-gram Jaccard join with a MinHash LSH forest (operator 7).
 
 Documents with equal sets of word shingles form a class; only one of each goes on.  Its minhash values
-make ``TREES`` signatures, each a path in a sorted prefix trie.  Prefixes are shortened from the full
-depth until documents of the wanted similarity meet in some tree with the wanted recall
-(``depth_for``).  Documents under one trie node are candidates.
+make ``TREES`` signatures of one fixed depth: the longest with which documents of the wanted similarity
+meet in some tree with the wanted recall (``depth_for``).  This is banded MinHash LSH: no sorted tries
+are kept and no prefix is shortened for a document.  Documents with one signature are candidates.
 
 Candidates are verified exactly, each pair in one place.  The nodes' members are first linked to their
 least member (never to each other), and the connected groups this gives hold every candidate pair, so a
