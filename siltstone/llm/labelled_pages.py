@@ -19,6 +19,10 @@ LAYOUTS = (
     '<body><header><h1>W2</h1><p>W6</p></header><div class="text story" data-main><p>W21</p><p>W33</p></div><div class="tags meta related-posts"><a href="#">W1</a> W4</div><div class="discussion responses"><p>W18</p></div><div class="pagination pager"><a href="#">W1</a></div></body>',
     '<body><h1 data-main>W5</h1><p data-main>W24</p><p data-main>W41</p><p data-main>W17</p></body>',
     '<body><div class="top topbar login"><p>W5</p></div><section data-main><h2>W4</h2><p>W28</p><p>W35</p></section><aside><p>W22</p></aside><div class="disqus thread"><p>W12</p></div><div class="gdpr consent privacy"><p>W16</p></div></body>',
+    '<body class="has-sidebar"><header class="page-header" role="banner"><p>W6</p></header><div role="navigation" class="navigation navbar"><a href="#">W2</a><a href="#">W3</a></div><article class="post" data-main><header class="entry-header"><h1>W6</h1><p class="byline meta">W4</p></header><p><a href="#">W5</a></p><h2><a href="#">W4</a></h2><ul><li><a href="#">W6</a></li><li><a href="#">W5</a></li><li><a href="#">W7</a></li></ul><p>W44</p><div class="ad ads advert advertisement" data-rest><p>W9</p></div><p>W31 <a href="#">W3</a> W18</p><div class="sponsor sponsored promo promotion" data-rest><p>W9</p></div><section class="legal"><p>W22</p></section><div class="newsletter subscribe subscription signup" data-rest><p>W9</p></div><p>W27</p><footer data-rest><p>W7</p></footer></article><div role="contentinfo" class="colophon"><p>W9</p></div></body>',
+    '<body><main data-main><div class="content body entry"><h1>W5</h1><p>W37</p><nav class="toc" data-rest><a href="#">W3</a></nav><div class="related recommended" data-rest><a href="#">W6</a><p>W8</p></div><p>W33</p><div class="share sharing social social-links" data-rest><a href="#">W2</a></div><div class="breadcrumb" data-rest><a href="#">W3</a></div><div class="pagination pager paging" data-rest><a href="#">W2</a></div><p>W26</p><div class="sidebar widget" data-rest><p>W9</p></div><div class="menu nav navigation" data-rest><a href="#">W3</a></div><aside data-rest><p>W8</p></aside></div><div role="complementary" data-rest><p>W9</p></div></main></body>',
+    '<body><div role="dialog" class="overlay modal"><p>W9</p></div><div class="search-form" role="search"><p>W3</p></div><article data-main><h1>W5</h1><p>W36</p><p>W29</p><div class="cookie cookie-notice consent gdpr" data-rest><p>W9</p></div><div class="popup modal" role="dialog" data-rest><p>W9</p></div><div class="notice alert" role="alert" data-rest><p>W9</p></div><div class="comment comments comment-list" id="comments" data-rest><h3>W2</h3><p>W12</p></div><div class="discussion respond responses reply replies disqus thread" data-rest><p>W14</p></div><div role="navigation" data-rest><p>W5</p></div><div role="contentinfo" class="site-footer" data-rest><p>W6</p></div></article></body>',
+    '<body><div class="topnav menu-bar"><a href="#">W2</a></div><div class="ads advertisement banner-ad"><p>W8</p></div><div class="story article content" data-main><h1>W5</h1><p>W38</p><p>W30</p></div><div class="recommended"><p>W12</p></div><div class="share sharing"><a href="#">W2</a></div><div class="replies respond reply"><p>W16</p></div><div class="signup subscription promotion"><p>W9</p></div><div class="footer" role="contentinfo"><p>W9</p></div></body>',
 )
 
 

@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -473,6 +474,51 @@ def test_given_pages_equal_their_articles(spark):
     assert html_text.extract(odd).count() == 3
 
 
+ARTICLE = """<h1>Title</h1><p>Some words of the article stand here and more of them follow.</p><p><a href="#">Only a link</a></p>
+<h2><a href="#">A linked heading</a></h2><ul><li><a href="a">one</a></li><li><a href="b">two more</a></li></ul><section class="legal"><p>Of law.</p></section>
+<div class="todo-list post"><p>Named, but no noise.</p></div><div class="ad-slot">Buy now.</div><p>The end.</p>"""
+ARTICLE_TEXT = "Title\nSome words of the article stand here and more of them follow.\nOnly a link\nA linked heading\none\ntwo more\nOf law.\nNamed, but no noise.\nThe end."
+
+
+@pytest.mark.parametrize("opening", ['<article class="post comments-open">', '<article class="has-sidebar">', '<main class="menu-open">', '<div class="with-sidebar"><article>', '<div class="page header-fixed"><main>', '<div class="sidebar"><article>', '<form id="all"><article>', '<article class="comment">'])
+def test_names_around_an_article_do_not_rule_it_out(opening):
+    closing = "".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", opening)))
+    page = f'<body class="sidebar-right"><nav><a href="/">Home</a></nav>{opening}{ARTICLE}{closing}<div class="related"><p>Other reads.</p></div><footer>Foot</footer></body>'
+    assert html_text.main_text(page) == ARTICLE_TEXT
+
+
+def test_odd_markup():
+    text = html_text.main_text
+    assert text('<article><p>Go <a href="x>link</a> and on.</p><p class="y z">More.</p></article>') == "Go link and on.\nMore."
+    assert text("<article><p>One <![CDATA[ x > y ]]> two.</p></article>") == "One two."
+    assert text('<article><p title="a > b">x < y and 3 > 2 &lt;b&gt;</p><!-- <p>no</p> --><!--> shown</article>') == "x < y and 3 > 2 <b>\nshown"
+    assert text('<script>var a = "<article>";</script><div class="content"><p>Plain words here.</p></div>') == "Plain words here."
+    assert text("<article><p>a</p><svg>not closed<p>b</p></article>") == "a\nnot closed\nb"
+    assert text("<article><blockquote><p>Said.</p><footer>A. Uthor</footer></blockquote><footer>out</footer></article>") == "Said.\nA. Uthor"
+
+
+@pytest.mark.parametrize("unit", ['<a b="x" c ', "<a b='x\" c=\"y' ", '<a b="x>', "<!-- ", '<div class="a">', "<section>", "<svg>", "<![CDATA[", "class=' ", "<"])
+def test_time_is_linear_in_the_page(unit):
+    def seconds(n):
+        page = "<article>" + unit * (n // len(unit)) + '"' + "</div>" * (n // 20)
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(1 << 20) < max(0.5, 40 * seconds(1 << 16))
+
+
+def test_extraction_of_odd_tables(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string, text string")
+    assert html_text.extract(pages).count() == 0
+    long = "<article>" + "<p>A word or two.</p>" * 100_000 + "</article>"
+    odd = spark.createDataFrame([(1, "u", long, "clash"), (1, "u", long, "clash"), (None, None, "<p", "clash")], "page_id bigint, url string, html string, text string")
+    got = html_text.extract(odd).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 1_499_999), (1, 1_499_999)]
+    with pytest.raises(ValueError):
+        html_text.extract(odd, keep=("text",))
+
+
 # -- 5
 
 
