@@ -73,6 +73,20 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def keyed_join(rows: DataFrame, per_key: DataFrame, on: list[str], total: int, size: str = "size") -> DataFrame:
+    """``rows`` joined with a table of one row a key, which tells in ``size`` how many rows its key has.
+
+    Keys with more than a thousandth of ``total`` (at least the number of rows), of which there can't be
+    more than a thousand, are broadcast, so that their rows stay where they are; all others are joined
+    by shuffle.  Keys aren't null.
+    """
+    limit = total / 1000
+    hot = F.broadcast(per_key.where(F.col(size) > limit).withColumn("_hot", F.lit(True)))
+    told = rows.join(hot, on, "left")
+    cold = told.where("_hot IS NULL").select(*rows.columns).join(per_key.where(F.col(size) <= limit), on)
+    return told.where("_hot").select(*cold.columns).unionByName(cold)
+
+
 def int_list(values: list[int]) -> Column:
     """A literal array<bigint>, folded once by the optimizer."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

@@ -1,22 +1,27 @@
 """N-gram Jaccard join with a MinHash LSH forest (operator 7).
 
 Documents with equal sets of word shingles form a class; only one of each goes on.  Its minhash values
-make ``TREES`` signatures of one fixed depth: the longest with which documents of the wanted similarity
-meet in some tree with the wanted recall (``depth_for``).  This is banded MinHash LSH: no sorted tries
-are kept and no prefix is shortened for a document.  Documents with one signature are candidates.
+are its paths in ``TREES`` prefix tries: ``DEEPEST`` values of 16 bits a tree, written so that paths sort
+as bytes and a prefix is a substring.  A trie's level is a grouping by prefix.  All documents are grouped
+at the shortest prefix that may be needed; who is alone there has no neighbour in that tree, and only
+nodes of more than ``SMALL`` documents are looked at further down.  Each document then starts from the
+longest prefixes and shortens them, in all trees together and nodes with few members first, until a pair
+at the threshold is met with the wanted recall, given the depths it has come to in its trees (``choose``).
+Documents below one node take its shortest choice, so what meets doesn't depend on who asks.
 
 Candidates are verified exactly, each pair in one place.  The nodes' members are first linked to their
 least member (never to each other), and the connected groups this gives hold every candidate pair, so a
-document's shingles are sent to its group once.  A large group is cut into tiles of two blocks of
-``TILE`` documents each, which separate tasks verify by a product of sparse incidence rows, so no task
-holds more than two blocks.  If a group is so loose that its nodes together hold far fewer pairs than
-it, its nodes are tiled instead, and a pair counts in the first tree in which it meets.  A task returns
-each document's number of links and a spanning forest of them: pairs are never listed.
+document's shingles are sent to its group once.  A large group is cut into tiles of two blocks of at most
+about ``TILE`` documents and ``TILE_BYTES`` of shingles each, which separate tasks verify by a product of
+sparse incidence rows, so no task holds more than two blocks.  If a group is so loose that its nodes
+together hold far fewer pairs than it, its nodes are tiled instead, and a pair counts in the first tree
+in which it meets.  A task returns each document's number of links and a spanning forest of them: pairs
+are never listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,21 +29,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, mix64, release, utf8
+from siltstone.llm.common import keyed_join, materialise, mix64, release, utf8
 from siltstone.llm.decontaminate import kgrams, words
 from siltstone.llm.token_counts import slices
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 24, 10, 0.995
-TILE, SLICE = 512, 2 << 20
+TREES, DEEPEST, RECALL = 24, 9, 0.995
+#: Nodes of at most so many documents aren't looked at further down.
+SMALL = 8
+TILE, TILE_BYTES, SLICE = 512, 16 << 20, 2 << 20
 
 
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
-    """The longest prefix with which a pair at the threshold meets in one of the trees as often as wanted."""
-    for d in range(deepest, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def met_within(depths: Sequence[int], threshold: float) -> float:
+    """How often a pair at the threshold shares a prefix of those lengths, one a tree, in some tree."""
+    return 1 - float(np.prod([1 - threshold**d for d in depths]))
+
+
+def depths_for(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
+    """The prefix lengths of the forest, shortest first.
+
+    The shortest is one less than the longest that would do alone in all trees, so that trees with long
+    prefixes can be made up for; the longest is two more.  A recall that prefixes of one value can't
+    reach raises ValueError.
+    """
+    enough = [d for d in range(1, DEEPEST + 1) if met_within([d] * TREES, threshold) >= recall]
+    if not enough:
+        raise ValueError(f"{TREES} trees can't reach a recall of {recall} at a similarity of {threshold}")
+    return list(range(max(1, enough[-1] - 1), min(DEEPEST, enough[-1] + 2) + 1))
+
+
+def choose(sizes: np.ndarray, depths: Sequence[int], threshold: float, recall: float) -> np.ndarray:
+    """Of each document the place in ``depths`` of its prefix in each tree (documents x trees).
+
+    sizes: members of its nodes (documents x trees x depths).  A document takes in each tree the shortest
+    prefix with at most c members, and the longest where all have more; c is doubled until its trees
+    meet a pair at the threshold with the wanted recall.
+    """
+    miss = np.log1p(-(float(threshold) ** np.asarray(depths, float)) + 1e-300)
+    out, left, c = np.zeros(sizes.shape[:2], np.int64), np.arange(len(sizes)), SMALL
+    while len(left):
+        fits = sizes[left] <= c
+        some, at = fits.any(2), fits.argmax(2)
+        reached = np.where(some, miss[at], 0.0).sum(1) <= np.log(1 - recall)
+        out[left[reached]] = np.where(some, at, len(depths) - 1)[reached]
+        left, c = left[~reached], 2 * c
+    return out
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +107,26 @@ _A = _rng.integers(1, 1 << 32, TREES * DEEPEST, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint32)
 
 
-def prefixes(h: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The hashes of each text's prefix in every tree (texts x TREES); texts without shingles have none."""
+def paths(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes of each text's path in every tree (texts x TREES * 2 DEEPEST); zeros without shingles."""
     filled = np.diff(at) > 0
     starts = at[:-1][filled]
-    out = np.zeros((len(at) - 1, TREES), np.uint64)
-    if not len(starts):
-        return out
-    low = ((h >> np.uint64(32)) ^ (h & np.uint64(0xFFFFFFFF))).astype(np.uint32)
-    keys = np.zeros((len(starts), TREES), np.uint64)
-    for tree in range(TREES):
-        for i in range(tree * depth, (tree + 1) * depth):
+    out = np.zeros((len(at) - 1, TREES * DEEPEST), ">u2")
+    if len(starts):
+        low = ((h >> np.uint64(32)) ^ (h & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+        values = np.zeros((len(starts), TREES * DEEPEST), np.uint16)
+        for i in range(TREES * DEEPEST):
             x = low * _A[i]
             x ^= x >> np.uint32(15)
             x += _B[i]
             x *= np.uint32(0x2C1B3C6D)
-            least = np.minimum.reduceat(x, starts)
-            keys[:, tree] = mix64(keys[:, tree] * np.uint64(0x9E3779B97F4A7C15) + least)
-    out[filled] = keys
-    return out
+            values[:, i] = np.minimum.reduceat(x, starts) & np.uint32(0xFFFF)
+        out[filled] = values
+    return out.view(np.uint8)
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """id, n (shingles), same (a 128-bit digest of the shingle set), keys (a prefix hash for each tree)."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """id, n (shingles), same (a 128-bit digest of the shingle set), paths (those of all trees, end to end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -102,17 +134,16 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(np.diff(offsets).tolist(), SLICE):
                 h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keys, n = prefixes(h, at, depth), np.diff(at)
+                own, n = paths(h, at), np.diff(at)
                 both = np.zeros((b - a, 2), np.uint64)
                 if len(h):
                     starts = at[:-1][n > 0]
                     both[n > 0, 0] = np.add.reduceat(mix64(h), starts)
                     both[n > 0, 1] = np.add.reduceat(mix64(h ^ np.uint64(0x94D049BB133111EB)), starts)
                 same = [x.tobytes() for x in both]
-                flat = pa.array(keys.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * TREES, TREES, dtype=np.int32)), flat)], names=["id", "n", "same", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "n", "same", "paths"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, same binary, keys array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, same binary, paths binary")
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -133,24 +164,75 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """(id, root): the least id each id is connected with, for ids that have an edge (a, b).
 
     Large-star and small-star steps in turn; each step's edges are written to the shared folder, and
-    their number never exceeds that of the edges given.
+    their number never exceeds that of the edges given.  Centres with many edges don't go to one task.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    marks = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    mark = now.agg(*marks).first()
     while True:
-        least = both(now).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both(now).where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both(now).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
+        large = keyed_join(both(now).where("v > u"), least, ["u"], 2 * mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = keyed_join(down, low, ["u"], mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         now = materialise(small, tag)
-        was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        was, mark = mark, now.agg(*marks).first()
         if was == mark:
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The forest's nodes with at least two documents: id, tree, key (the node), least (id), size, bytes.
+
+    classes: rep, n (shingles), paths.
+    """
+    depths = depths_for(threshold, recall)
+    prefix = lambda d: F.substring("path", 1, 2 * d)
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.expr("paths").substr(t * (2 * DEEPEST) + 1, F.lit(2 * DEEPEST)).alias("path"))))
+    leaves = classes.select(F.col("rep").alias("id"), "n", each.alias("l")).select("id", "n", "l.tree", "l.path")
+    total = TREES * classes.count()
+    inside = (F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), (F.sum("n") * 8).alias("bytes"))
+    nodes = materialise(leaves.groupBy("tree", prefix(depths[0]).alias("prefix")).agg(*inside).where("size > 1"), "nodes")
+    met = materialise(keyed_join(leaves.withColumn("prefix", prefix(depths[0])), nodes, ["tree", "prefix"], total), "met")
+    key = lambda c: F.xxhash64(F.lit(len(depths)), c).alias("key")
+    few = met.where(F.col("size") <= SMALL).select("id", "tree", key(F.col("prefix")), "least", "size", "bytes")
+    crowded = met.where(F.col("size") > SMALL)
+    rows = crowded.count()
+    if not rows:
+        return few
+    deeper = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), prefix(d).alias("sub")) for i, d in enumerate(depths) if i)))
+    below = crowded.select("id", "tree", deeper.alias("d")).select("id", "tree", "d.*")
+    counted = below.groupBy("tree", "at", "sub").agg(F.count(F.lit(1)).alias("size"))
+    sized = keyed_join(below, counted, ["tree", "at", "sub"], rows * (len(depths) - 1)).select("id", "tree", "at", "size")
+    sized = sized.unionByName(crowded.select("id", "tree", F.lit(0).alias("at"), "size")).groupBy("id").agg(F.collect_list(F.struct("tree", "at", "size")).alias("of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("of")
+            flat, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(n)), n)
+            tree, at, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tree", "at", "size"))
+            sizes = np.ones((len(n), TREES, len(depths)), np.int64)
+            sizes[doc, tree, at] = size
+            got = choose(sizes, depths, threshold, recall)
+            own = at == 0
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc[own])), pa.array(tree[own], pa.int32()), pa.array(got[doc[own], tree[own]], pa.int32())], names=["id", "tree", "at"])
+
+    chosen = materialise(sized.mapInArrow(run, "id bigint, tree int, at int"), "chosen")
+    placed = crowded.select("id", "n", "tree", "path", "prefix").join(chosen, ["id", "tree"])
+    shortest = placed.groupBy("tree", "prefix").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("size"))
+    placed = keyed_join(placed.drop("at"), shortest, ["tree", "prefix"], rows)
+    cut = F.lit(None).cast("binary")
+    for i, d in enumerate(depths):
+        cut = F.when(F.col("at") == i, prefix(d)).otherwise(cut)
+    placed = materialise(placed.select("id", "n", "tree", key(cut)), "placed")
+    groups = placed.groupBy("tree", "key").agg(*inside).where("size > 1")
+    many = keyed_join(placed.drop("n"), groups, ["tree", "key"], rows)
+    return few.unionByName(many.select(*few.columns))
+
+
 def _incidence(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of 0 and 1 over the shingles that at least two of the sets have."""
     flat = np.concatenate(sets)
@@ -167,7 +249,8 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, left: np
     """Links of each document within a tile (to ``copies`` documents each), and a spanning forest of them.
 
     left: for tiles of two blocks, which rows are of the first (pairs across count); else all pairs.
-    keys: only pairs that meet in no tree before ``tree`` count.  Columns are taken in strips, so memory
+    keys: of each document its node in each tree (0: none); only pairs that meet in no tree before ``tree``
+    count.  Columns are taken in strips, so memory
     is bounded whatever the texts' length.
     """
     n = len(ids)
@@ -186,7 +269,7 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, left: np
         ok &= left[:, None] != left[None, :]
     if keys is not None and tree:
         a, b = np.nonzero(np.triu(ok, 1))
-        met = (keys[a, :tree] == keys[b, :tree]).any(1)
+        met = ((keys[a, :tree] == keys[b, :tree]) & (keys[a, :tree] != 0)).any(1)
         ok[a[met], b[met]] = ok[b[met], a[met]] = False
     forest, seen = [], np.zeros(n, bool)
     for start in range(n):
@@ -211,31 +294,31 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     own.  Rows of one id are one document (of its longest text, and of these the greatest); null ids are
     left out, as they name no document.
     """
-    depth = depth_for(threshold, recall=recall)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = materialise(signatures(rows, depth).groupBy("id").agg(F.max_by(F.struct("n", "same", "keys"), F.struct("n", "same")).alias("s")).select("id", "s.*"), "signatures")
-    classes = signed.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    signed = materialise(signatures(rows).groupBy("id").agg(F.max_by(F.struct("n", "same", "paths"), F.struct("n", "same")).alias("s")).select("id", "s.*"), "signatures")
+    classes = signed.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"))
     classes = materialise(classes, "classes")
-    # Trie nodes with at least two members, and their members' links to the least.
-    leaves = classes.select(F.col("rep").alias("id"), F.posexplode("keys").alias("tree", "key"))
-    nodes = leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
-    met = materialise(leaves.join(nodes, ["tree", "key"]), "met")
+    met = materialise(candidates(classes, threshold, recall), "candidates")
     groups = materialise(components(met.select(F.col("id").alias("a"), F.col("least").alias("b")), "groups"), "grouped")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    work = met.join(groups, "id").groupBy("root", "tree", "key").agg(F.first("size").alias("size")).groupBy("root").agg(F.sum(F.col("size").cast("double") ** 2).alias("pairs"))
-    plan = materialise(sizes.join(work, "root").select("root", "members", ((F.col("members") > TILE) & (F.col("members").cast("double") ** 2 > 4 * F.col("pairs"))).alias("loose")), "plan")
+    weighed = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    sizes = weighed.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("n") * 8).alias("weight"))
+    # A node's members share a root: that of its least member.
+    work = met.where("id = least").select("id", "tree", "key", "size").join(groups, "id").groupBy("root").agg(F.sum(F.col("size").cast("double") ** 2).alias("pairs"))
+    plan = materialise(sizes.join(work, "root").select("root", "members", "weight", ((F.col("members") > TILE) & (F.col("members").cast("double") ** 2 > 4 * F.col("pairs"))).alias("loose")), "plan")
     placed = groups.join(plan, "root")
-    tight = placed.where("not loose").select("id", F.lit(-1).alias("tree"), F.col("root").alias("key"), F.col("members").alias("size"))
-    loose = met.join(placed.where("loose").select("id"), "id").select("id", "tree", "key", "size")
+    tight = placed.where("not loose").select("id", F.lit(-1).alias("tree"), F.col("root").alias("key"), F.col("members").alias("size"), F.col("weight").alias("bytes"))
+    loose = met.join(placed.where("loose").select("id"), "id").select("id", "tree", "key", "size", "bytes")
     # Blocks of a group and the tiles each takes part in: (i, j) for i <= j.
-    spread = tight.unionByName(loose).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+    spread = tight.unionByName(loose).withColumn("blocks", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = spread.select("id", "tree", "key", "block", other.alias("other"))
     tiles = tiles.select("id", "tree", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     texts = rows.join(groups.select("id").distinct(), "id", "left_semi")
     sets = shingle_rows(texts).groupBy("id").agg(F.max_by("shingles", F.struct(F.octet_length("shingles"), F.col("shingles"))).alias("shingles"))
-    sets = materialise(sets.join(classes.select(F.col("rep").alias("id"), "keys", "copies"), "id"), "shingles")
+    nodes_of = met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("m"))  # at most one a tree
+    keys = nodes_of.select("id", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0).cast("bigint"))).alias("keys"))
+    sets = materialise(sets.join(classes.select(F.col("rep").alias("id"), "copies"), "id").join(keys, "id"), "shingles")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         release()

@@ -281,9 +281,63 @@ def test_large_groups_are_tiled_without_loss(spark, monkeypatch, tile):
 
 
 def test_prefixes_are_shortened_until_the_recall_is_reached():
-    d = lsh_forest.depth_for()
-    assert 1 - (1 - 0.8**d) ** lsh_forest.TREES >= lsh_forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** lsh_forest.TREES
-    assert lsh_forest.depth_for(0.2) == 1
+    depths = lsh_forest.depths_for()
+    assert depths == [6, 7, 8, 9] and lsh_forest.met_within([7] * lsh_forest.TREES, 0.8) >= lsh_forest.RECALL > lsh_forest.met_within([8] * lsh_forest.TREES, 0.8)
+    r = np.random.default_rng(6)
+    sizes = np.sort(np.exp(r.uniform(0, 12, (300, lsh_forest.TREES, 4)) * r.random((300, 1, 1))).astype(np.int64), 2)[:, :, ::-1]
+    at = lsh_forest.choose(sizes, depths, 0.8, lsh_forest.RECALL)
+    for own, chosen in zip(sizes, at, strict=True):
+        assert lsh_forest.met_within([depths[i] for i in chosen], 0.8) >= lsh_forest.RECALL
+        # No shorter than needed: with half the members allowed the recall isn't reached.
+        c = max((own[t, i] for t, i in enumerate(chosen) if i < 3), default=1)
+        fewer = [next((d for d, s in zip(depths, x, strict=True) if s <= max(c // 4, 4)), None) for x in own]
+        assert c <= 2 * lsh_forest.SMALL or lsh_forest.met_within([d for d in fewer if d], 0.8) < lsh_forest.RECALL
+    assert (lsh_forest.choose(np.ones((1, lsh_forest.TREES, 4), np.int64), depths, 0.8, lsh_forest.RECALL) == 0).all()
+    assert len(set(at.ravel().tolist())) == 4
+    with pytest.raises(ValueError):
+        lsh_forest.depths_for(0.05)
+
+
+@pytest.mark.parametrize("crowd", [0, 300])
+def test_recall_near_the_threshold(spark, crowd):
+    """Pairs with a similarity of 0.8 to 0.9 against brute force; crowd: among many texts with a common half."""
+    r, texts, wanted = random.Random(12), {}, set()
+    common = prose(5, 100, 10**6).split()
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    while len(wanted) < (120 if crowd else 600):
+        base = ((common if crowd else []) + [f"v{r.randrange(10**6)}" for _ in range(120)])[-180:]
+        other = list(base)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            other[r.randrange(len(base))] = f"e{r.randrange(10**6)}"
+        a, b = sets(base), sets(other)
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            k = len(texts)
+            texts[k], texts[k + 1] = " ".join(base), " ".join(other)
+            wanted.add((k, k + 1))
+    for i in range(crowd):
+        texts[len(texts)] = " ".join([*common, *(f"u{r.randrange(10**6)}" for _ in range(60))])
+    got = {x["doc_id"]: x for x in lsh_forest.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    links, _ = brute_links(texts)
+    assert sum(got[a]["class_id"] == got[b]["class_id"] for a, b in wanted) >= 0.99 * len(wanted)
+    found, all_links = sum(x["n_links"] for x in got.values()), sum(links.values())
+    assert 0.99 * all_links <= found <= all_links and all(got[k]["n_links"] <= links[k] for k in got)
+
+
+def test_hot_centres_are_joined_like_all_others(spark):
+    r = random.Random(3)
+    edges = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 5000 + i + 1) for i in range(40)] + [(r.randrange(6000, 9000), r.randrange(6000, 9000)) for _ in range(1500)]
+    root = {k: k for e in edges for k in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {x["id"]: x["root"] for x in lsh_forest.components(spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()}
+    assert got == {k: find(k) for k in {x for e in edges if e[0] != e[1] for x in e}}
 
 
 # -- 6
