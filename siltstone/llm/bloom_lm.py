@@ -1,7 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter (operator 6).
 
 The filter holds word and word-pair counts on a log scale: a count of level q is stored as q members
-(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing.  It is cut
+(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing.  A level read
+back stands for the mean count of the n-grams of training texts that are read back with it, so that the
+counts of all words, and of all pairs, keep their sums.  It is cut
 into cells by the n-gram's hash, and a cell into blocks; the cells grow with the text and a cell's blocks
 with its members, so every count is stored whatever the corpus, and no task or driver holds more than a
 cell.  Probes are routed to the cells: a slice of documents sends each cell its distinct n-grams and how
@@ -16,6 +18,7 @@ distributed: the ``HEAD`` most frequent are broadcast, all others joined by hash
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 START, END = np.uint64(0x5BD1E995A54FF53A), np.uint64(0x3C6EF372FE94F82B)
-BASE, LEVELS, PROBES = 1.5, 64, 3
-BLOCK_BITS, BITS_A_MEMBER = 1 << 19, 8
+BASE, LEVELS, PROBES = 1.12, 250, 10
+BLOCK_BITS, BITS_A_MEMBER = 1 << 19, 32
 #: Bytes of text a slice has, and for which there is a cell, on average.
 HEAD, SLICE, CELL = 1 << 18, 2 << 20, 4 << 20
 PSEUDO = 0.1
@@ -75,20 +78,20 @@ def pairs(prev: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix64(prev * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
+def _least_counts() -> np.ndarray:
+    """The least count of each level from 1 on: one more each time, then by the factor ``BASE``."""
+    out = [1]
+    while len(out) < LEVELS:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * BASE)))
+    return np.array(out)
 
 
-def _middle() -> np.ndarray:
-    """The count each level stands for: the geometric mean of the least and the greatest with that level."""
-    out = [0.0]
-    for q in range(1, LEVELS + 1):
-        lo, hi = math.ceil(BASE ** (q - 1) - 1e-9), max(math.ceil(BASE**q - 1e-9) - 1, 1)
-        out.append(math.sqrt(lo * max(lo, hi)))
-    return np.array(out)
+LEAST_COUNT = _least_counts()
 
 
-COUNT_OF = _middle()
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The level of each count; counts up to 9 have one of their own."""
+    return np.searchsorted(LEAST_COUNT, counts, "right")
 
 
 class LogBloom:
@@ -103,9 +106,13 @@ class LogBloom:
         return (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % self.blocks
 
     @staticmethod
-    def places(h: np.ndarray, level: int) -> list[np.ndarray]:
+    def places(h: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """The bits of each member in its block, probe after probe."""
         g = mix64(h + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        return [((g >> np.uint64(20 * i)) % np.uint64(BLOCK_BITS)).astype(np.int64) for i in range(PROBES)]
+        step = g >> np.uint64(33) | np.uint64(1)
+        for _ in range(PROBES):
+            yield (g & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+            g = g + step
 
     @staticmethod
     def build_block(h: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -128,9 +135,10 @@ class LogBloom:
             out.bits[i * BLOCK_BITS // 8 : (i + 1) * BLOCK_BITS // 8] = cls.build_block(h[own], q[own])
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The count stored for each n-gram."""
-        return COUNT_OF[self.levels(h)]
+    def false_rate(self) -> float:
+        """How often an n-gram that isn't in the filter is found there: the blocks' mean."""
+        filled = np.unpackbits(self.bits).reshape(self.blocks, -1).mean(1)
+        return float((filled**PROBES).mean())
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level stored for each n-gram: probes level after level, for those still present."""
@@ -186,7 +194,11 @@ def ask(slice_id: int, text: pa.ChunkedArray, train: np.ndarray, cells: int) ->
 
 
 def answer(asked: pa.Table, min_pair_count: int, room: int) -> pa.Table:
-    """A cell's levels for the n-grams of each slice; and one row with its words and their counts."""
+    """A cell's levels for the n-grams of each slice; and one row with its words and their counts.
+
+    That row also tells of the n-grams of training texts, for each level read back, how many there are and
+    the sum of their counts (of words, then of pairs), and the filter's rate of false finds.
+    """
     hs = [np.frombuffer(x, np.uint64) for x in asked.column("h").to_pylist()]
     size, words = np.array([len(x) for x in hs]), asked.column("words").to_numpy()
     c = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in asked.column("c").to_pylist()])
@@ -197,8 +209,11 @@ def answer(asked: pa.Table, min_pair_count: int, room: int) -> pa.Table:
     word = np.zeros(len(h), bool)
     word[back[is_word]] = True
     stored = (n > 0) & (word | (n >= min_pair_count))
-    found = LogBloom.build(h[stored], levels(n[stored]), room).levels(h).astype(np.uint8)[back]
+    bloom = LogBloom.build(h[stored], levels(n[stored]), room)
+    found = bloom.levels(h).astype(np.uint8)
     own = word & (n > 0) & (h != START)
+    sums = [np.bincount(found[of], weights, LEVELS + 1) for of in (own, ~word & (n > 0)) for weights in (None, n[of].astype(float))]
+    found = found[back]
     k = len(hs)
     return pa.table({
         "slice": pa.concat_arrays([asked.column("slice").combine_chunks(), pa.array([None], pa.int64())]),
@@ -207,20 +222,46 @@ def answer(asked: pa.Table, min_pair_count: int, room: int) -> pa.Table:
         "levels": pa.array([*(found[b - s : b].tobytes() for b, s in zip(ends.tolist(), size.tolist(), strict=True)), None], pa.binary()),
         "word_h": pa.array([None] * k + [h[own].view(np.int64)], pa.list_(pa.int64())),
         "word_n": pa.array([None] * k + [n[own]], pa.list_(pa.int64())),
+        "sums": pa.array([None] * k + [np.concatenate(sums)], pa.list_(pa.float64())),
+        "wrong": pa.array([None] * k + [bloom.false_rate()], pa.float64()),
     })
 
 
-def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text", min_pair_count: int = 1) -> DataFrame:
+class Model:
+    """What scoring needs besides the levels: the counts they stand for, and the sums of all counts.
+
+    p(word) = (c(word) + 0.1) / (all + 0.1 (V + 1)), and p(word | previous) =
+    (c(previous, word) + s p(word)) / (c(previous) + s + f V); f V is what the V words are expected to
+    count in false finds.  Over all words and one unknown both sum to 1, up to the rounding of levels.
+    """
+
+    def __init__(self, sums: np.ndarray, wrong: float, vocabulary: int, texts: int, smoothing: float) -> None:
+        words, word_counts, pairs, pair_counts = sums.reshape(4, LEVELS + 1)
+        plain = LEAST_COUNT.astype(float)  # of levels nothing is read back with
+        mean = lambda n, c: np.append(0.0, np.where(n[1:] > 0, c[1:] / np.maximum(n[1:], 1), plain))
+        self.word, self.pair = mean(words, word_counts), mean(pairs, pair_counts)
+        self.all = word_counts.sum() + PSEUDO * (vocabulary + 1)
+        self.texts, self.smoothing, self.wrong = texts, smoothing, wrong * vocabulary
+
+    def logp(self, pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 p(word | previous) by the pairs' levels, the previous ones' counts and the words' levels."""
+        both = np.where((before > 0) & (word > 0), self.pair[pair], 0.0)
+        return np.log10((both + self.smoothing * (self.word[word] + PSEUDO) / self.all) / (before + self.smoothing + self.wrong))
+
+
+def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col: str = "doc_id", text_col: str = "text", min_pair_count: int = 1, with_tokens: bool = False) -> DataFrame:
     """Scores of every document by the counts of those for which ``train`` holds.
 
-    Returns id, n_tokens, n_known, train_tokens, base_score and score.  ``score`` sums log10 of
-    (c(previous, word) + s p(word)) / (c(previous) + s), p by the filter's word counts, s the smoothing.
-    Null texts count as empty (one token, the end).  Repeated rows and ids stay apart.  Without training
-    rows every count is 0 and N = V = 0.  Word pairs below ``min_pair_count`` aren't stored.
+    Returns id, n_tokens, n_known, train_tokens, base_score and score, and with ``with_tokens`` logp, the
+    tokens' shares of the score in their order.  ``score`` is the sum of log10 p(word | previous) of
+    ``Model`` over the tokens; c(previous) is exact for the ``HEAD`` most frequent words.  Null texts count as
+    empty (one token, the end).  Repeated rows and ids, null ids too, stay apart.  A text is always scored
+    whole, in one task.  Other columns aren't read.  Without training rows every count is 0 and N = V = 0.
+    Word pairs below ``min_pair_count`` aren't stored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count_if("train")).first()
     cells, room = max(1, -(-size // CELL)), BLOCK_BITS // BITS_A_MEMBER
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // SLICE)))))
 
@@ -231,44 +272,56 @@ def lm_scores(docs: DataFrame, train: Column, smoothing: float = 100.0, id_col:
         return answer(part, min_pair_count, room)
 
     asked = rows.groupBy("slice").applyInArrow(ask_cells, "cell int, slice bigint, words int, h binary, c binary")
-    answers = materialise(asked.groupBy("cell").applyInArrow(answer_slices, "slice bigint, cell int, words int, levels binary, word_h array<bigint>, word_n array<bigint>"), "answers")
-    words = answers.where("slice IS NULL").select(F.explode(F.arrays_zip("word_h", "word_n")).alias("t")).select(F.col("t.word_h").alias("h"), F.col("t.word_n").alias("n"))
+    answers = materialise(asked.groupBy("cell").applyInArrow(answer_slices, "slice bigint, cell int, words int, levels binary, word_h array<bigint>, word_n array<bigint>, sums array<double>, wrong double"), "answers")
+    own_rows = answers.where("slice IS NULL")
+    words = own_rows.select(F.explode(F.arrays_zip("word_h", "word_n")).alias("t")).select(F.col("t.word_h").alias("h"), F.col("t.word_n").alias("n"))
     n_all, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     share = n_all + PSEUDO * (v + 1)
+    sums = np.zeros(4 * (LEVELS + 1))
+    for r in own_rows.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        sums[r["at"]] = r["x"]
+    model = Model(sums, own_rows.agg(F.avg("wrong")).first()[0] or 0.0, v, texts, smoothing)
     head = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
     hh, hc = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(hh)
-    sent = spark.sparkContext.broadcast((np.append(hh[order], np.uint64((1 << 64) - 1)), np.append(hc[order], 0)))
+    sent = spark.sparkContext.broadcast((np.append(hh[order], np.uint64((1 << 64) - 1)), np.append(hc[order], 0), model))
     kinds = {"row": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail_h": pa.list_(pa.int64()), "tail_n": pa.list_(pa.int64())}
+    if with_tokens:
+        kinds["logp"] = pa.list_(pa.float64())
 
     def run(key: tuple, part: pa.Table, got: pa.Table) -> pa.Table:
-        common, cs = sent.value
+        common, cs, model = sent.value
         own = Slice(part.column("text"))
         got = got.sort_by("cell")
         split = [(np.frombuffer(x, np.uint8), k) for x, k in zip(got.column("levels").to_pylist(), got.column("words").to_pylist(), strict=True)]
-        stored, stored_pair = COUNT_OF[np.concatenate([x[:k] for x, k in split])], COUNT_OF[np.concatenate([x[k:] for x, k in split])]
+        stored, stored_pair = np.concatenate([x[:k] for x, k in split]), np.concatenate([x[k:] for x, k in split])
         place = np.searchsorted(common, own.u)
         inside = common[place] == own.u
         c = np.where(inside, cs[place], 0)
         base = np.where(inside, np.log10((c + PSEUDO) / share), 0.0)
-        both = np.minimum(stored_pair[own.pair], np.minimum(stored[own.prev], stored[own.word]))
-        logp = np.log10((both + smoothing * ((stored + PSEUDO) / share)[own.word]) / (stored[own.prev] + smoothing))
+        context = np.where(inside, c, model.word[stored])
+        context[own.start] = model.texts
+        logp = model.logp(stored_pair[own.pair], context[own.prev], stored[own.word])
         rare = ~inside[own.word]
         tail, kn = np.unique(own.doc[rare].astype(np.int64) << 32 | own.word[rare], return_counts=True)
         at = pa.array(np.searchsorted(tail, np.arange(len(own.n) + 1, dtype=np.int64) << 32), pa.int32())
-        return pa.table([
+        columns = [
             pa.array((key[0].as_py() << 32) + np.arange(len(own.n))), part.column("id"), pa.array(own.n), pa.array(np.add.reduceat((c > 0)[own.word].astype(np.int64), own.first)),
             pa.array(np.add.reduceat(base[own.word], own.first)), pa.array(np.add.reduceat(logp, own.first)),
             pa.ListArray.from_arrays(at, pa.array(own.u[tail & 0xFFFFFFFF].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(kn.astype(np.int64))),
-        ], names=list(kinds))
+        ]
+        if with_tokens:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(own.first, len(logp)), pa.int32()), pa.array(logp)))
+        return pa.table(columns, names=list(kinds))
 
     told = answers.where("slice IS NOT NULL").select("slice", "cell", "words", "levels")
-    scored = rows.drop("train").groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, "row bigint, id bigint, n_tokens bigint, known bigint, base double, score double, tail_h array<bigint>, tail_n array<bigint>")
-    scored = materialise(scored, "scored")
+    schema = "row bigint, id bigint, n_tokens bigint, known bigint, base double, score double, tail_h array<bigint>, tail_n array<bigint>" + ", logp array<double>" * with_tokens
+    scored = materialise(rows.drop("train").groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, schema), "scored")
+    sent.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("k"))
-    found = rare.join(words, "h", "left").select(
-        "row", F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"),
-        (F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + PSEUDO) / F.lit(share))).alias("base"), F.lit(0.0).alias("score"),
+    found = rare.join(words, "h", "left").groupBy("row").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + PSEUDO) / F.lit(share))).alias("rest")
     )
-    both = scored.drop("tail_h", "tail_n").unionByName(found).groupBy("row").agg(F.max("id").alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return both.select(id_col, "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
+    both = scored.where("size(tail_h) > 0").join(found, "row").unionByName(scored.where("size(tail_h) = 0").withColumns({"more": F.lit(0).cast("bigint"), "rest": F.lit(0.0)}))
+    out = both.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("rest")).alias("base_score"), "score", *["logp"] * with_tokens)
+    return out
