@@ -12,14 +12,19 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
-#: Rows a partition of an ordered layout holds at most, on average.
-ROWS_PER_PARTITION = 8192
+#: Rows a partition of an ordered layout holds, on average, up to so many partitions.
+ROWS_PER_PARTITION, MOST_PARTITIONS = 8192, 100_000
+#: Rows sampled for each bound between partitions, and at most in all.
+SAMPLE_PER_BOUND, MOST_SAMPLED = 64, 500_000
+#: Leading bytes of the column that tells rows of one key apart.
+TIE_BYTES = 24
 _LEAST = -(1 << 63)
 
 
@@ -29,10 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that raises ValueError, as
+    a folder of one machine isn't seen by the others.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that all executors share is needed")
         found = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,7 +57,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing yet to be computed reads."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            df._written_to = None
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -66,7 +89,7 @@ def write_whole(uri: str, chunks: Iterator[bytes]) -> None:
 
 
 def partitions_for(spark: SparkSession, rows: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION)), MOST_PARTITIONS)
 
 
 def whole_text() -> Column:
@@ -87,56 +110,54 @@ def keyed_join(rows: DataFrame, per_key: DataFrame, on: list[str], total: int, s
     return told.where("_hot").select(*cold.columns).unionByName(cold)
 
 
-def int_list(values: list[int]) -> Column:
-    """A literal array<bigint>, folded once by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _sort_key(key: str, rest: str) -> Column:
+    """Bytes in the order of (key, nulls first; the leading bytes of ``rest``)."""
+    k = F.col(key).cast("bigint")
+    number = F.concat(F.lit(bytearray(b"\1")), F.unhex(F.lpad(F.hex(k.bitwiseXOR(F.lit(_LEAST))), 16, "0")))
+    return F.concat(F.coalesce(number, F.lit(bytearray(9))), F.coalesce(F.substring(F.col(rest).cast("binary"), 1, TIE_BYTES), F.lit(bytearray())))
+
+
+def ordered(df: DataFrame, key: str, rest: str) -> DataFrame:
+    """``key`` and ``rest`` in ascending order over partitions: partition i holds smaller rows than i+1, sorted.
 
+    The bounds are quantiles that Spark samples.  Rows of one key (or with a null key, which come first) are
+    ordered by ``rest``, text or binary, and spread over partitions by its leading bytes.
+    """
+    n = partitions_for(df.sparkSession, df.count())
+    tie = F.substring(F.col(rest).cast("binary"), 1, TIE_BYTES)
+    return df.select(key, rest).repartitionByRange(n, F.col(key).asc_nulls_first(), tie.asc_nulls_first()).sortWithinPartitions(key, rest)
 
-def ordered(df: DataFrame, key: str, columns: list[str], following: bool = False) -> tuple[DataFrame, int]:
-    """Lay rows out in ascending ``key`` over partitions: partition i holds smaller keys than i+1, sorted.
 
-    The bounds come from one job over the key column alone (counts in equal-width cells, at most
-    65,536 rows to the driver whatever the input), so the rows themselves are read and shuffled once.
-    Adds ``_part``; equal keys share a partition and are ordered by the other columns; null keys come
-    first.  ``following``: each partition also gets, flagged ``_extra`` and last, the first row of the
-    next non-empty one (the last gets the first of all), so that a scan sees every row's successor.
-    Returns the frame and the number of partitions.
+def ordered_with_next(df: DataFrame, key: str, rest: str) -> DataFrame:
+    """As ``ordered``, and each partition also gets, flagged ``_extra`` and last, the first row of the next
+    one that has any (the last one gets the first of all), so that a scan sees every row's successor.
+
+    The bounds are quantiles of a sample of bounded size; a second job over the keys finds what comes first
+    in each partition (a row each comes to the driver, at most ``MOST_PARTITIONS``).  A first row that is repeated
+    is sent as often.
     """
-    spark = df.sparkSession
-    ids = df.select(F.col(key).cast("bigint").alias("k"))
-    lo, hi, rows = ids.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
-    n = partitions_for(spark, rows or 0)
-    cells = max(1024, min(65_534, 16 * n))
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    wide = F.lit(float(cells) / (float(hi) - float(lo) + 1.0))
-
-    def cell(k: Column) -> Column:
-        at = F.floor((k.cast("double") - F.lit(float(lo))) * wide)
-        return F.when(k.isNull(), F.lit(0)).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(cells - 1)) + 1).cast("int")
-
-    counts = ids.groupBy(cell(F.col("k")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least")).collect()
-    by_cell = {r["c"]: (r["n"], r["least"]) for r in counts}
-    part_of, first, filled, goal = [0] * (cells + 1), [None] * n, 0, max(1, -(-(rows or 0) // n))
-    for c in range(cells + 1):
-        p = min(n - 1, filled // goal)
-        part_of[c] = p
-        if c in by_cell:
-            filled += by_cell[c][0]
-            if first[p] is None:
-                first[p] = _LEAST if by_cell[c][1] is None else by_cell[c][1]
-    k = F.col(key).cast("bigint")
-    out = df.select(*columns, F.element_at(int_list(part_of), cell(k) + 1).cast("int").alias("_part"))
-    if following:
-        used = [p for p in range(n) if first[p] is not None]
-        before = dict(zip(used, used[-1:] + used[:-1], strict=True))
-        own = F.struct(F.col("_part").alias("p"), F.lit(False).alias("e"))
-        to = F.struct(F.element_at(int_list([before.get(p, 0) for p in range(n)]), F.col("_part") + 1).cast("int").alias("p"), F.lit(True).alias("e"))
-        is_first = F.coalesce(k, F.lit(_LEAST)) == F.element_at(int_list([_LEAST if x is None else x for x in first]), F.col("_part") + 1)
-        out = out.withColumn("_to", F.explode(F.when(is_first, F.array(own, to)).otherwise(F.array(own))))
-        out = out.select(*columns, F.col("_to.p").alias("_part"), F.col("_to.e").alias("_extra"))
-    lead = ["_extra"] if following else []
-    rest = [c for c in columns if c != key]
-    return out.repartitionById(n, F.col("_part")).sortWithinPartitions(*lead, key, *rest), n
+    spark, rows = df.sparkSession, df.count()
+    n = partitions_for(spark, rows)
+    part = min(1.0, min(SAMPLE_PER_BOUND * n, MOST_SAMPLED) / max(rows, 1))
+    keys = df.select(_sort_key(key, rest).alias("_key"))
+    sampled = keys.sample(part, seed=1) if part < 1 else keys
+    width = 9 + TIE_BYTES
+    seen = np.sort(np.array([r[0] for r in sampled.toArrow().to_pandas().itertuples(index=False)], f"S{width}"))
+    bounds = seen[np.arange(1, n) * len(seen) // n] if len(seen) else seen
+
+    @F.pandas_udf("int")
+    def place(own: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, own.to_numpy().astype(f"S{width}"), "right").astype(np.int32))
+
+    firsts = sorted((r["_part"], bytes(r["first"])) for r in keys.select(place("_key").alias("_part"), "_key").groupBy("_part").agg(F.min("_key").alias("first")).collect())
+    before = [p for p, _ in firsts[-1:] + firsts[:-1]]
+    listed = [(p, bytearray(k), b) for (p, k), b in zip(firsts, before, strict=True)]
+    told = spark.createDataFrame(listed, "_part int, _key binary, _before int")
+    out = df.select(key, rest, _sort_key(key, rest).alias("_key")).withColumn("_part", place("_key")).join(F.broadcast(told), ["_part", "_key"], "left")
+    own = F.struct(F.col("_part").alias("p"), F.lit(False).alias("e"))
+    to = F.struct(F.col("_before").alias("p"), F.lit(True).alias("e"))
+    out = out.select(key, rest, F.explode(F.when(F.col("_before").isNotNull(), F.array(own, to)).otherwise(F.array(own))).alias("_to"))
+    return out.select(key, rest, F.col("_to.p").alias("_part"), F.col("_to.e").alias("_extra")).repartitionById(n, F.col("_part")).sortWithinPartitions("_extra", key, rest)
 
 
 _kept: dict[object, object] = {}

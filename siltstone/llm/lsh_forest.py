@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keyed_join, materialise, mix64, release, utf8
+from siltstone.llm.common import discard, keyed_join, materialise, mix64, release, utf8
 from siltstone.llm.decontaminate import kgrams, words
 from siltstone.llm.token_counts import slices
 
@@ -176,7 +176,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
         small = keyed_join(down, low, ["u"], mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialise(small, tag)
+        before, now = now, materialise(small, tag)
+        discard(before)
         was, mark = mark, now.agg(*marks).first()
         if was == mark:
             break
@@ -201,7 +202,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     crowded = met.where(F.col("size") > SMALL)
     rows = crowded.count()
     if not rows:
-        return few
+        return _done(few, nodes, met)
     deeper = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), prefix(d).alias("sub")) for i, d in enumerate(depths) if i)))
     below = crowded.select("id", "tree", deeper.alias("d")).select("id", "tree", "d.*")
     counted = below.groupBy("tree", "at", "sub").agg(F.count(F.lit(1)).alias("size"))
@@ -230,7 +231,13 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     placed = materialise(placed.select("id", "n", "tree", key(cut)), "placed")
     groups = placed.groupBy("tree", "key").agg(*inside).where("size > 1")
     many = keyed_join(placed.drop("n"), groups, ["tree", "key"], rows)
-    return few.unionByName(many.select(*few.columns))
+    return _done(few.unionByName(many.select(*few.columns)), nodes, met, chosen, placed)
+
+
+def _done(out: DataFrame, *temporary: DataFrame) -> DataFrame:
+    out = materialise(out, "candidates")
+    discard(*temporary)
+    return out
 
 
 def _incidence(sets: list[np.ndarray]) -> np.ndarray:
@@ -298,7 +305,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     signed = materialise(signatures(rows).groupBy("id").agg(F.max_by(F.struct("n", "same", "paths"), F.struct("n", "same")).alias("s")).select("id", "s.*"), "signatures")
     classes = signed.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths"))
     classes = materialise(classes, "classes")
-    met = materialise(candidates(classes, threshold, recall), "candidates")
+    met = candidates(classes, threshold, recall)
     groups = materialise(components(met.select(F.col("id").alias("a"), F.col("least").alias("b")), "groups"), "grouped")
     weighed = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     sizes = weighed.groupBy("root").agg(F.count(F.lit(1)).alias("members"), (F.sum("n") * 8).alias("weight"))
@@ -335,13 +342,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         return pd.concat([out[out["links"] > 0], edges])
 
     found = materialise(tiles.join(sets, "id").groupBy("tree", "key", "i", "j").applyInPandas(run, "id bigint, links bigint, to bigint"), "links")
+    discard(met, groups, plan, sets)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")), "linked")
     by_class = classes.select("same", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("same", F.col("rep").alias("copy_of"), F.col("copies").alias("n_copies"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = signed.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("copy_of"), F.lit(1).cast("bigint").alias("n_copies"))
     rest = signed.where("n > 0").select("id", "same").join(by_class, "same").select("id", "class_id", "n_links", "copy_of", "n_copies")
-    return rest.unionByName(alone).withColumnRenamed("id", id_col)
+    out = rest.unionByName(alone).withColumnRenamed("id", id_col)
+    out._temporary = (signed, classes, found)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,6 +361,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     """
     found = jaccard_join(docs, threshold, id_col=id_col, text_col=text_col)
     gone = materialise(found.where(F.col(id_col) != F.col("class_id")).select(id_col), "gone")
+    discard(*found._temporary)
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if twice.isEmpty():

@@ -184,7 +184,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_c
     spark = docs.sparkSession
     out = out_dir or fresh_dir(spark, "ids")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    laid, _ = ordered(rows, "id", ["id", "text"])
+    laid = ordered(rows, "id", "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_c
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([writer.firsts[-1]], pa.int64())})
 
     # A row for each partition, of fixed size: the manifest.
-    shards = laid.select("id", "text").mapInArrow(run, "shard bigint, uri string, docs bigint, tokens bigint").collect()
+    shards = laid.mapInArrow(run, "shard bigint, uri string, docs bigint, tokens bigint").collect()
     total, listed = 0, []
     for s in sorted(shards, key=lambda s: s["shard"]):
         listed.append({"shard": s["shard"], "uri": s["uri"], "docs": s["docs"], "tokens": s["tokens"], "start": total})

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm.common import discard, materialise
 
 GRID, STEPS, TOLERANCE, LEXICON = 1000, 60, 1e-4, 64
 LABELLED_ROWS, LEAST_ROWS = 6000, 500
@@ -123,14 +123,16 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
     if not total:
         return Classifier(domains, [[] for _ in domains], [[0.0] * (6 + len(domains)) for _ in domains], [False] * len(domains))
     seen = held.select("domain", F.explode(F.array_distinct(_plain(F.col("text")))).alias("word")).where("word <> '' AND length(word) < 40").groupBy("word").agg(F.count(F.lit(1)).alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"in_{i}") for i, d in enumerate(domains)))
-    seen = materialise(seen.where(F.col("all") >= 5), "seen").coalesce(4)
+    seen_table = materialise(seen.where(F.col("all") >= 5), "seen")
+    seen = seen_table.coalesce(4)
     lexicons = []
     for i, d in enumerate(domains):
         p = sizes.get(d, 0) / total
         z = (F.col(f"in_{i}") - F.col("all") * p) / F.sqrt(F.col("all") * max(p * (1 - p), 1e-9))
         lexicons.append([r["word"] for r in seen.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()])
     wide, inputs = Classifier.inputs(held, "text", lexicons)
-    x = materialise(wide.select("domain", weight.alias("w"), F.array(*inputs).alias("v")), "inputs").coalesce(4)
+    inputs_table = materialise(wide.select("domain", weight.alias("w"), F.array(*inputs).alias("v")), "inputs")
+    x = inputs_table.coalesce(4)
     k = len(inputs)
     weighed = {d: n * part / own[d] for d, n in sizes.items()}
     total = sum(weighed.values())
@@ -154,6 +156,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
             moved = max(moved, most)
         if moved < 1e-3:
             break
+    discard(held, seen_table, inputs_table)
     return Classifier(domains, lexicons, weights, [sizes.get(d, 0) > 0 for d in domains])
 
 
@@ -199,9 +202,9 @@ def fit(scored: DataFrame, model: Classifier, shares: Mapping[str, float], most:
     """
     k, whole = len(model.domains), sum(shares.values())
     want = [shares.get(d, 0.0) / whole for d in model.domains]
-    cells = materialise(scored.groupBy("_p").agg(F.sum("_tokens").alias("_tokens")), "cells")
-    n = cells.count()
-    cells = cells.coalesce(max(1, n // 20_000))  # bounded by the grid
+    cells_table = materialise(scored.groupBy("_p").agg(F.sum("_tokens").alias("_tokens")), "cells")
+    n = cells_table.count()
+    cells = cells_table.coalesce(max(1, n // 20_000))  # bounded by the grid
 
     def totals(rate: Column) -> list[float]:
         got = cells.agg(*(F.sum(rate * F.col("_tokens") * F.element_at("_p", i + 1)).alias(f"t{i}") for i in range(k))).first()
@@ -221,6 +224,7 @@ def fit(scored: DataFrame, model: Classifier, shares: Mapping[str, float], most:
             break
         done.append([(t - g) / s if s > 0 else 0.0 for t, g, s in zip(now, targets, start, strict=True)])
         now = totals(_rate(F.col("_p"), done, most))
+    discard(cells_table)
     return Mix(model, done, most, start, targets, now)
 
 

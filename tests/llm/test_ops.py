@@ -17,8 +17,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import attention_quality, bloom_lm, decontaminate, html_text, language_id, lsh_forest, lz_fingerprint, packed_ids, soft_mixing, token_counts
-from siltstone.llm.common import ordered, table
+from siltstone.llm import attention_quality, bloom_lm, common, decontaminate, html_text, language_id, lsh_forest, lz_fingerprint, packed_ids, soft_mixing, token_counts
+from siltstone.llm.common import ordered, ordered_with_next, table
 from siltstone.llm.queries import SHARES, domains, oracle_sql, queries, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -128,19 +128,53 @@ def test_written_ids_are_read_back_in_order(spark, docs, empty, texts):
     assert packed_ids.read_ids(spark, folder, True).where("size(ids) <> n_tokens").count() == 0
 
 
-def test_ordered_partitions_follow_each_other(spark):
-    rows = spark.createDataFrame([(r * 37 % 1000 if r % 97 else None, str(r)) for r in range(3000)], "k bigint, v string")
-    laid, n = ordered(rows, "k", ["k", "v"], following=True)
+def in_partitions(laid):
     parts = {}
     for r in laid.withColumn("p", F.spark_partition_id()).collect():
-        parts.setdefault(r["p"], []).append((r["_extra"], r["k"], r["v"]))
-    own = [x for p in sorted(parts) for x in parts[p] if not x[0]]
-    key = lambda x: (x[1] is not None, x[1] or 0, x[2])
-    assert own == sorted(own, key=key) and len(own) == 3000 and n >= 4
-    used = [p for p in sorted(parts) if any(not x[0] for x in parts[p])]
-    for p, q in zip(used, used[1:] + used[:1], strict=True):
-        extra = [x[1:] for x in parts[p] if x[0]]
-        assert extra[0] == next(x[1:] for x in parts[q] if not x[0])
+        parts.setdefault(r["p"], []).append(r)
+    return [parts[p] for p in sorted(parts)]
+
+
+def in_order(r):
+    return r["k"] is not None, r["k"] or 0, r["v"]
+
+
+def test_ordered_partitions_follow_each_other(spark):
+    rows = spark.createDataFrame([(r * 37 % 1000 if r % 97 else None, str(r)) for r in range(3000)], "k bigint, v string")
+    flat = [r for part in in_partitions(ordered(rows, "k", "v")) for r in part]
+    assert [in_order(r) for r in flat] == sorted(map(in_order, rows.collect()))
+    parts = in_partitions(ordered_with_next(rows, "k", "v"))
+    own = [[r for r in part if not r["_extra"]] for part in parts]
+    flat = [in_order(r) for part in own for r in part]
+    assert flat == sorted(map(in_order, rows.collect())) and len(own) == 4
+    for part, following in zip(parts, own[1:] + own[:1], strict=True):
+        extra = [r for r in part if r["_extra"]]
+        assert part[-len(extra) :] == extra and in_order(extra[0]) == in_order(following[0])
+    assert ordered(rows.where("false"), "k", "v").count() == ordered_with_next(rows.where("false"), "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["outlier", "nulls", "repeats"])
+def test_ordered_partitions_are_even(spark, monkeypatch, kind):
+    """One far id, a third of the ids null, or a third of them one id: no partition holds twice the mean."""
+    monkeypatch.setattr(common, "ROWS_PER_PARTITION", 2000)
+    key = {"outlier": "IF(id = 7, 1152921504606846976, id)", "nulls": "IF(id % 3 = 0, NULL, id)", "repeats": "IF(id % 3 = 0, 5, id)"}[kind]
+    rows = spark.range(26_000).selectExpr(f"{key} AS k", "md5(string(id)) AS v")
+    for laid in (ordered(rows, "k", "v"), ordered_with_next(rows, "k", "v").where("NOT _extra")):
+        sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 26_000 and len(sizes) == 13 and max(sizes) < 2 * 2000
+
+
+def test_the_shared_folder_is_not_made_up_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, other: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
 
 
 # -- 10
