@@ -8,7 +8,8 @@ windows that hold it, and counts if SPAN words in a row agree.
 
 Items go to the workers in blocks of at most ``BLOCK_BYTES`` of text (chosen by a hash of the item), so
 what is broadcast has a fixed bound; each block is held against all documents and the blocks' spans are
-united.  A benchmark within the bound is one block, and documents aren't shuffled at all.
+united.  A benchmark within the bound is one block, and documents aren't shuffled at all.  Items of one text
+are looked for once, however many there are.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, mix64, release, span_hashes, utf8
+from siltstone.llm.common import discard, materialise, mix64, release, span_hashes, utf8
 from siltstone.llm.token_counts import slices
 
 K, W = 5, 4
@@ -78,14 +78,21 @@ def fingerprints(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class ItemIndex:
-    """Fingerprints of items with at least SPAN words; whole hashes of those with fewer."""
+    """Fingerprints of items with at least SPAN words; whole hashes of those with fewer.
 
-    def __init__(self, ids: list, texts: list) -> None:
-        self.ids = ids
-        data, offsets = utf8(pa.array(texts, pa.string()))
+    ``ids`` lists the items of each text; texts of fewer than ``least`` words are left out.
+    """
+
+    def __init__(self, ids: list, texts: list, least: int = 1) -> None:
+        of: dict[str, list] = {}
+        for i, t in zip(ids, texts, strict=True):
+            of.setdefault(t, []).append(i)
+        kinds = [t for t in of if least < 2 or np.diff(words(*utf8(pa.array([t], pa.string())))[1])[0] >= least]
+        self.ids = [of[t] for t in kinds]
+        data, offsets = utf8(pa.array(kinds, pa.string()))
         self.words, self.at = words(data, offsets)
         n = np.diff(self.at)
-        self.item = np.repeat(np.arange(len(ids)), n)
+        self.item = np.repeat(np.arange(len(kinds)), n)
         h, place = fingerprints(self.words, self.at)
         order = np.argsort(h, kind="stable")
         self.hashes, self.places = h[order], place[order]
@@ -177,21 +184,26 @@ def _rows(ids: pa.Array, at: np.ndarray, mask: np.ndarray, found: dict[int, set]
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The items with text, in blocks of about ``block_bytes`` at most."""
-    held = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    held = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0).dropDuplicates(["item", "text"])
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    return [held.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item", "text") for i in range(n)]
+    return [held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).orderBy("item", "text") for i in range(n)]
+
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, least_words: int = SPAN) -> DataFrame:
+    """The documents in which no window of any item occurs, all columns kept; block after block of items.
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window of any item occurs, all columns kept; block after block of items."""
+    Items of fewer than ``least_words`` words (SPAN: those without a whole window) rule no document out, as a
+    common word would rule out all.  A null or empty text holds nothing and stays; repeated rows, null
+    ids and further columns stay as they are; a very long text is read whole.  Without items all stay.
+    """
     for block in _blocks(items, item_col, text_col, block_bytes):
         own = block.collect()
         sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             release()
-            index = ItemIndex(*sent.value)
+            index = ItemIndex(*sent.value, least_words)
             for batch in batches:
                 data, offsets = utf8(batch.column(text_col))
                 for a, b in slices(np.diff(offsets).tolist(), SLICE):
@@ -208,19 +220,24 @@ def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, id_col:
     """Of each document: n_words, n_hit, n_items, items_sha256, contaminated, and the spans and items hit.
 
     A null text has no words; an item without words occurs nowhere; items of one id count once and a
-    null item id isn't listed (its words still count as hit).  Repeated rows and ids stay apart.
+    null item id isn't listed (its words still count as hit).  Repeated rows and ids stay apart.  With more
+    than one block of items the texts are first written to the shared folder with a number for each row,
+    by which the blocks' finds are united.
     """
     spark = docs.sparkSession
     held = _blocks(items, item_col, text_col, block_bytes)
     blocks = len(held)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    if blocks > 1:
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
     def scan(block: int, whole: bool) -> DataFrame:
         own = held[block].collect()
         sent = spark.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, row = ItemIndex(*sent.value), TaskContext.get().partitionId() << 40
+            index = ItemIndex(*sent.value)
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
                 for a, b in slices(np.diff(offsets).tolist(), SLICE):
@@ -230,21 +247,29 @@ def contamination(docs: DataFrame, items: DataFrame, min_items: int = 2, id_col:
                     found: dict[int, set] = {}
                     texts = np.searchsorted(at, first, "right") - 1
                     for key in np.unique(texts.astype(np.int64) << 32 | item).tolist():
-                        found.setdefault(key >> 32, set()).add(index.ids[key & 0xFFFFFFFF])
+                        found.setdefault(key >> 32, set()).update(index.ids[key & 0xFFFFFFFF])
                     out = _rows(batch.column("id").slice(a, b - a), at, mask, found, min_items)
-                    yield out if whole else pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), *out.columns], names=["row", *out.schema.names])
-                    row += b - a
+                    yield out if whole else pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), *out.columns], names=["row", *out.schema.names])
 
         return rows.mapInArrow(run, OUT if whole else f"row bigint, {OUT}")
 
     if blocks == 1:
         return scan(0, True).withColumnRenamed("id", id_col)
     parts = [materialise(scan(i, False), "hits") for i in range(blocks)]
+    discard(rows)
     rest = parts[0]
     for x in parts[1:]:
         rest = rest.unionByName(x.where(F.size("spans") > 0))
     merged = rest.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-    n_hit = F.aggregate("spans", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("bigint"), x["after"] - F.greatest(x["first"], s["end"]))).alias("n"), F.greatest(s["end"], x["after"]).alias("end")))["n"]
+
+    def joined(spans: Column, x: Column) -> Column:
+        """The spans so far with one more, whose first word isn't before theirs."""
+        last = F.element_at(spans, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["after"], x["after"]).alias("after"))
+        return F.when((F.size(spans) > 0) & (last["after"] >= x["first"]), F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(longer))).otherwise(F.concat(spans, F.array(x)))
+
+    none = F.array().cast("array<struct<first:bigint,after:bigint>>")
+    merged = merged.withColumn("spans", F.aggregate("spans", none, joined))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["after"] - x["first"])
     n_items = F.size("items").cast("bigint")
     return merged.select(id_col, "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"), "spans", "items")

@@ -39,7 +39,8 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)),
 }
 NAMES = list(SCRIPTS)
-BUCKETS, CACHE, LEAST_ROWS = 1 << 15, 600_000, 32
+#: Words a worker keeps with their scores at most: some 50 MB with four languages.
+BUCKETS, CACHE, LEAST_ROWS = 1 << 15, 300_000, 32
 UNDETERMINED = "und"
 _ranges = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
 _STARTS = np.array([a for a, _, _ in _ranges], np.uint32)
@@ -82,8 +83,8 @@ class Model:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.scores = np.zeros((1 << 16, len(self.languages)))
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.scores = np.zeros((1 << 16, len(self.languages)), np.float32)
+        self.sizes = np.zeros(1 << 16, np.int32)
         self.strange = np.zeros(1 << 16, bool)
 
     def learn(self, words: list[str]) -> None:
@@ -112,7 +113,7 @@ class Model:
         if new:
             self.learn(new)
         idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.scores[idx], self.sizes[idx], self.strange[idx]
+        return self.scores[idx].astype(np.float64), self.sizes[idx].astype(np.int64), self.strange[idx]
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best label for each word: the sum of scores less ``switch`` for each change is greatest."""
@@ -176,14 +177,14 @@ def train(docs: DataFrame, rows: Column, sample: int = 8000, lang_col: str = "la
     """Learn from the rows for which ``rows`` holds and language and text aren't null.
 
     About ``sample`` of them, as many of each language as far as it has them (and ``LEAST_ROWS`` at
-    least), chosen by a hash of the id; what comes to the driver is a count for each language, and for
+    least), chosen by a hash of the id (null ids by chance); what comes to the driver is a count for each language, and for
     each language and trigram bucket.
     """
     usable = docs.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     sizes = usable.groupBy("lang").count().collect()
     each = max(LEAST_ROWS, sample // max(len(sizes), 1))
     bounds = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, each / r["count"]))) for r in sizes], "lang string, bound bigint")
-    chosen = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("bound"))
+    chosen = usable.join(F.broadcast(bounds), "lang").where(F.when(F.col("id").isNull(), F.rand(11) * (1 << 30)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 30))) < F.col("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,9 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """id, lang_pred, score and spans of every whole text.
 
     ``und`` with score 0 and no spans where the text is null or has no letter (or nothing was learned).
-    Repeated rows and null ids are kept.
+    Repeated rows and null ids are kept, and an empty table gives an empty result; of languages that tie the
+    one that sorts last is taken.  A text is read whole, with a row of scores for each word in memory.
+    Other columns aren't read.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch)), uuid.uuid4().hex
 
@@ -234,19 +237,30 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "id bigint, lang_pred string, score double, spans array<struct<first int, after int, lang string>>").withColumnRenamed("id", id_col)
 
 
-def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text", known: float = 0.0) -> DataFrame:
+def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text", known: float = 0.0, given: str | None = None, sure: float = 0.9) -> DataFrame:
     """The documents whose language could be told with a score of at least ``least``, all columns kept.
 
     known: the least part of a text's letters in words of a script that some learned language uses.
+    given: the column of the language a document is said to have.  Where that is another learned language
+    than the text's, told with a score of at least ``sure``, the document goes; where it is null, the
+    text's is filled in.  A text that is null or has no letter goes; repeated rows are told apart by nothing
+    and share their fate; an empty table stays empty.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.uses, model.switch)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _worker_model(key, sent.value)
+        learned = set(own.languages)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 got = own.told(part.column(text_col).to_pylist())
-                yield part.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least and used >= known for g, used in got], pa.bool_()))
+                keep = [g[0] != UNDETERMINED and g[1] >= least and used >= known for g, used in got]
+                if given:
+                    said = part.column(given).to_pylist()
+                    keep = [k and not (x in learned and x != g[0] and g[1] >= sure) for k, x, (g, _) in zip(keep, said, got, strict=True)]
+                    told = pa.array([g[0] if x is None else x for x, (g, _) in zip(said, got, strict=True)], part.schema.field(given).type)
+                    part = part.set_column(part.schema.get_field_index(given), part.schema.field(given), told)
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -248,12 +248,25 @@ def test_every_shared_window_is_found(spark, block_bytes):
         assert (x["n_words"], x["n_hit"], x["n_items"]) == (n, hit, len(found)), x
         assert x["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest() and x["contaminated"] == (len(found) >= 2) and x["items"] == names
         assert sum(s["after"] - s["first"] for s in x["spans"]) == hit
-    clean = decontaminate.drop_contaminated(df, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    clean = decontaminate.drop_contaminated(df, benchmark, block_bytes=block_bytes, least_words=1)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(x["doc_id"] for x in got if not x["n_items"])
+    long = [(i, t) for i, t in items if len(words(t)) >= 8]
+    clean = decontaminate.drop_contaminated(df.withColumn("items", F.lit("clash")), benchmark, block_bytes=block_bytes)
+    assert clean.columns == ["doc_id", "text", "items"] and sorted(r["doc_id"] for r in clean.collect()) == sorted(k for k, t in docs if not brute_hits(t, long)[2])
     nothing = decontaminate.contamination(df, spark.createDataFrame([], "item_id bigint, text string"))
     assert nothing.where("n_hit > 0").count() == 0 and nothing.count() == len(docs)
 
 
+def test_items_of_a_common_word_and_long_or_repeated_documents(spark):
+    items = spark.createDataFrame([(i, "the") for i in range(500)] + [(1000, prose(3, 20)), (1000, prose(3, 20))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "the " * 20_000), (1, "the " * 20_000), (None, None), (2, prose(8, 50_000) + " " + prose(3, 20)), (3, "clean")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1]["n_hit"] == 20_000 and got[1]["n_items"] == 500 and got[2]["n_items"] == 1 and got[2]["n_hit"] >= 20 and got[None]["n_words"] == 0
+    kept = [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()]
+    assert sorted(kept, key=str) == [1, 1, 3, None]
+
+
 # -- 7
 
 
@@ -506,6 +519,33 @@ def test_the_pipeline_rejects_texts_of_no_learned_language(spark):
     assert {x["doc_id"] for x in corpus_pipeline.tell_language(spark, docs, "").collect()} == {*range(40), 52}
 
 
+def test_given_languages_are_held_against_the_texts(spark):
+    texts = {"en": "the thing and the other " * 8, "es": "los niños del año pasado " * 8}
+    rows = [(i, texts[("en", "es")[i % 2]], ("en", "es")[i % 2], "x") for i in range(40)]
+    rows += [(50, texts["en"], "es", "wrong"), (51, texts["es"], None, "filled"), (52, texts["en"], "xx", "unknown"), (52, texts["en"], "xx", "unknown"), (None, None, "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
+    model = language_id.train(docs.where("doc_id < 40"), F.lit(True))
+    kept = language_id.filter_languages(docs, model, given="lang").where("doc_id >= 40").collect()
+    assert sorted((r["doc_id"], r["lang"], r["lang_pred"]) for r in kept) == [(51, "es", "filled"), (52, "xx", "unknown"), (52, "xx", "unknown")]
+    assert language_id.filter_languages(docs.where("false"), model, given="lang").count() == language_id.label_languages(docs.where("false"), model).count() == 0
+
+
+def test_languages_of_held_out_documents_and_long_texts(spark):
+    docs, held = table(spark, SF.replace("0.001", "0.01"), "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.train(docs, ~held)
+    got = language_id.label_languages(docs.where(held), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").toPandas()
+    assert len(got) > 200 and (got.lang_pred == got.lang).mean() > 0.97
+    long = spark.createDataFrame([(1, ("the other thing and " * 50_000))] * 2, "doc_id bigint, text string")
+    rows = language_id.label_languages(long, model).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and len(rows[0]["spans"]) >= 1
+
+
+def test_the_sample_of_null_ids_is_bounded(spark):
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('the thing ', id) AS text", "'en' AS lang")
+    model = language_id.train(rows, F.lit(True), sample=500)
+    assert model.languages == ["en"]
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, f"the thing and the other {i}", "en") for i in range(3000)] + [(5000 + i, "los niños del año pasado", "es") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
