@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, language_id, lsh_forest, packed_ids, soft_mixing
-from siltstone.llm.common import materialise, table
+from siltstone.llm.common import discard, materialise, table
 from siltstone.llm.queries import SHARES, domains, vocabulary
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told.
+    """Documents whose language can be told, and is the one given.
 
-    Those go that have no letters, less than half of them in a script of a learned language, or a score
-    no better than an even split over the languages.
+    Those go that have no letters, less than half of them in a script of a learned language, a score no
+    better than an even split over the languages, or a given language other than the text's, told with a
+    score of 0.9 at least.  A language that isn't given is filled in.
     """
     model = language_id.train(docs, F.lit(True))
     k = len(model.languages)
-    return language_id.filter_languages(docs, model, least=(1 + 1e-6) / k if k > 1 else 0.0, known=0.5)
+    return language_id.filter_languages(docs, model, least=(1 + 1e-6) / k if k > 1 else 0.0, known=0.5, given="lang")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of 8 words of a benchmark item; items of fewer words rule none out."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -62,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, f"stage-{i}")
+            discard(before)
     return docs
