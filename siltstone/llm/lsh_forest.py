@@ -172,12 +172,13 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     mark = now.agg(*marks).first()
     while True:
         least = both(now).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
-        large = keyed_join(both(now).where("v > u"), least, ["u"], 2 * mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        # Both steps start from a written table: plans would double with each use of the one before.
+        large = keyed_join(both(now).where("v > u"), least, ["u"], 2 * mark[0]).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        down = materialise(large.where("u <> v").distinct(), tag)
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
         small = keyed_join(down, low, ["u"], mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         before, now = now, materialise(small, tag)
-        discard(before)
+        discard(before, down)
         was, mark = mark, now.agg(*marks).first()
         if was == mark:
             break
