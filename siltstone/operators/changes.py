@@ -6,37 +6,52 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from inspect import signature
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.model import IS_TAGGED, SEQ, TAG, TOMBSTONE, UNSET
 from siltstone.operators.resolve import lookup
+from siltstone.sources.scratch import Written
 
 POSITION = "_position"
 
 
-def number(rows: DataFrame, order: Sequence[Column | str], start: int) -> DataFrame:
-    """Add seq: start, start + 1, ... in the given order, dense and without gathering rows in one task.
+def staged(rows: DataFrame, order: Sequence[Column | str], start: int, folder: str | None = None) -> tuple[DataFrame, int, Written]:
+    """Rows with seq: start, start + 1, ... in the given order, dense; how many; and the table they lie in.
 
-    Rows are range-partitioned by the order and counted in each partition (a row for each partition
-    comes to the driver); a row's seq is the count before its partition plus its place within.
+    Rows are range-partitioned by the order, then by all other columns, and written with their place in
+    their partition; what is counted is what was written, so a lost executor can't change a seq.  A row
+    for each partition comes to the driver.  The caller removes the table.
     """
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = {r["_part"]: r["count"] for r in laid.groupBy("_part").count().collect()}
+    named = {c for c in order if isinstance(c, str)}
+    rest = [f.name for f in rows.schema.fields if f.name not in named and f.dataType.typeName() not in ("map", "variant")]
+    laid = rows.repartitionByRange(width, *order, *rest).sortWithinPartitions(*order, *rest)
+    # The id is the partition's number, 33 bits further left, and the row's place in the sorted partition.
+    table = Written(laid.withColumn("_place", F.monotonically_increasing_id()), folder)
+    counts = {r["part"]: r["count"] for r in table.df.groupBy(F.shiftright("_place", 33).alias("part")).count().collect()}
     before, total = {}, start
     for p in range(max(counts, default=-1) + 1):
         before[p], total = total, total + counts.get(p, 0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     base = F.split(F.lit(",".join(str(before[p]) for p in sorted(before)) or "0"), ",").cast("array<bigint>")
-    return laid.withColumn(SEQ, F.element_at(base, F.col("_part") + 1) + place - 1).drop("_part")
+    seq = F.element_at(base, (F.shiftright("_place", 33) + 1).cast("int")) + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return table.df.withColumn(SEQ, seq).drop("_place"), total - start, table
+
+
+def number(rows: DataFrame, order: Sequence[Column | str], start: int) -> DataFrame:
+    """``staged`` in the shared folder, for use outside a store."""
+    return staged(rows, order, start)[0]
+
+
+def as_versions(rows: DataFrame, keys: Sequence[str], values: Sequence[str], tag: object = UNSET, remove: bool = False) -> DataFrame:
+    """Numbered rows as log rows of puts or removes."""
+    own = [F.lit(None).cast(rows.schema[v].dataType).alias(v) if remove else F.col(v) for v in values if v in rows.columns or not remove]
+    return rows.select(F.lit(tag is not UNSET).alias(IS_TAGGED), F.lit(None if tag is UNSET else tag).cast("string").alias(TAG), *keys, SEQ, F.lit(remove).alias(TOMBSTONE), *own)
 
 
 def versions(pairs: DataFrame, keys: Sequence[str], values: Sequence[str], start: int, order: Sequence[Column | str], tag: object = UNSET, remove: bool = False) -> DataFrame:
     """Log rows of a batch of puts (or removes): one seq for each row, in order, so a later row of a key wins."""
-    rows = number(pairs, order, start)
-    own = [F.lit(None).cast(pairs.schema[v].dataType).alias(v) if remove and v in pairs.columns else F.col(v) for v in values if not remove or v in pairs.columns]
-    return rows.select(F.lit(tag is not UNSET).alias(IS_TAGGED), F.lit(None if tag is UNSET else tag).cast("string").alias(TAG), *keys, SEQ, F.lit(remove).alias(TOMBSTONE), *own)
+    return as_versions(number(pairs, order, start), keys, values, tag, remove)
 
 
 def apply(updater: Callable, keys: Sequence[str], values: Sequence[str]) -> list[Column]:

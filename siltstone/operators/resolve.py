@@ -18,8 +18,8 @@ from siltstone.model import IS_TAGGED, SEQ, TAG, TOMBSTONE, UNSET
 
 #: Lookups of at most so many keys become a filter that reaches the scan; more are joined.
 INLINE_KEYS = 1000
-#: Key tables of at most so many rows are broadcast to a join.
-BROADCAST_KEYS = 200_000
+#: Key tables of at most so many rows and bytes are broadcast to a join.
+BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def namespace(tag: object = UNSET) -> Column:
@@ -107,9 +107,11 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def small(keys: DataFrame, bound: int = BROADCAST_KEYS) -> bool:
-    """Whether a frame has no more rows than may be broadcast; reads at most one row more."""
-    return keys.limit(bound + 1).count() <= bound
+def small(keys: DataFrame, bound: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has no more rows and bytes than may be broadcast; reads at most one row more."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in keys.columns), F.lit(0))
+    n, size = keys.limit(bound + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    return n <= bound and size <= most_bytes
 
 
 def semi(log: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:

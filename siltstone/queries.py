@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,12 @@ from pyspark.sql import functions as F
 from siltstone.functions import bloom
 from siltstone.model import IS_TAGGED, SEQ, TAG, TOMBSTONE
 from siltstone.operators import changes, resolve
+from siltstone.plans import levels as planner
+from siltstone.sources import segments
+from siltstone.sources.manifest import Manifest, ManifestLog
+from siltstone.sources.scratch import Written, shared_dir
+from siltstone.sources.store import Store
+from siltstone.sources.tx import Abort, Tx
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -231,24 +239,56 @@ def q25_cas_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.cas_batch(log, swaps, K, ["val"])
 
 
-@query(f"SELECT key, val FROM {top(f'{OD} UNION ALL SELECT key, 1000000000 + key, false, val FROM ({BATCH})', where='key <= 200')} WHERE NOT tomb")
+def _kept(df: DataFrame) -> DataFrame:
+    """What a store shows now, written down before the store moves on."""
+    return Written(df).df
+
+
+def _orders_store(spark: SparkSession, sf_dir: str, parts: int = 1, **options: object) -> Store:
+    """A store of all orders, put in so many transactions, each of a stretch of order numbers."""
+    store = Store.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "key bigint", "val double", background=False, **options)
+    rows = orders_log(spark, sf_dir).select("key", "val", F.col(TOMBSTONE).alias("gone"), F.col(SEQ).alias("at"))
+    most = rows.agg(F.max("at")).first()[0] or 0
+    for i in range(parts):
+        own = rows.where(F.floor(F.col("at") * parts / F.lit(most + 1)) == i)
+        store.transaction(lambda tx, own=own: tx.put_changes(own, "gone", order=["at"]).commit())
+    return store
+
+
+#: The seq a store gives each order: its place in the order of their numbers.
+OD_STORED = f"SELECT key, row_number() OVER (ORDER BY seq) - 1 AS seq, tomb, val FROM ({OD})"
+AFTER_BATCH = f"SELECT key, val FROM {top(f'{OD} UNION ALL SELECT key, 1000000000 + key, false, val FROM ({BATCH})')} WHERE NOT tomb"
+
+
+@query(f"SELECT 'inside' AS seen, key, val FROM ({AFTER_BATCH}) UNION ALL SELECT 'outside' AS seen, key, val FROM {LIVE_OD}")
 def q26_tx_read_your_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pending = changes.versions(_batch(spark, sf_dir), K, ["val"], NEXT, ["key"])
-    return resolve.scan(resolve.merge(orders_log(spark, sf_dir), pending), K, high=200)
+    """What a transaction's scan shows of its own writes, and what a reader sees of them meanwhile."""
+    with _orders_store(spark, sf_dir) as store:
+        def act(tx: Tx) -> Abort:
+            tx.put_multi(_batch(spark, sf_dir))
+            own = tx.scan().df(ordered=False).select(F.lit("inside").alias("seen"), "key", "val")
+            other = store.scan().df(ordered=False).select(F.lit("outside").alias("seen"), "key", "val")
+            return tx.abort(_kept(own.unionByName(other)))
+
+        return store.transaction(act)
 
 
-@query(f"SELECT count(*) AS n, min(key) AS first_key, max(key) AS last_key, min(val) AS least, max(val) AS most FROM {LIVE_OD}")
+@query(f"SELECT count(*) AS n, min(key) AS first_key, max(key) AS last_key, min(val) AS least, max(val) AS most, (SELECT count(*) FROM orders) AS next_seq FROM {LIVE_OD}")
 def q27_abort_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is pending has seqs beyond the snapshot's, so without a commit no reader sees it."""
-    pending = changes.versions(_batch(spark, sf_dir), K, ["val"], NEXT, ["key"])
-    seen = resolve.scan(resolve.merge(orders_log(spark, sf_dir), pending), K, seq=NEXT, ordered=False)
-    return seen.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("val").alias("least"), F.max("val").alias("most"))
+    """A batch put and another removed in a transaction that aborts leave pairs and the next seq as they were."""
+    with _orders_store(spark, sf_dir) as store:
+        store.transaction(lambda tx: tx.put_multi(_batch(spark, sf_dir)).remove_multi(_batch(spark, sf_dir).select("key")).abort())
+        seen = store.scan().df(ordered=False)
+        return _kept(seen.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("val").alias("least"), F.max("val").alias("most")).withColumn("next_seq", F.lit(store.manifest.next_seq).cast("bigint")))
 
 
-@query(f"SELECT key, seq, tomb AS is_tombstone, val FROM ({OD})")
+@query(f"SELECT key, seq, tomb AS is_tombstone, CASE WHEN NOT tomb THEN val END AS val, 0 AS level FROM ({OD_STORED})")
 def q28_flush_all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    laid = orders_log(spark, sf_dir).repartitionByRange(F.col("key")).sortWithinPartitions("key", F.desc("seq"))
-    return laid.select("key", "seq", "is_tombstone", "val")
+    """Level 0 after a flush of two commits: all versions and tombstones."""
+    with _orders_store(spark, sf_dir, 2) as store:
+        new = store.flush()
+        rows = segments.read(spark, store.files, store.layout, new)
+        return _kept(rows.select("key", SEQ, TOMBSTONE, "val", F.lit(max(f.level for f in store.manifest.files)).alias("level")))
 
 
 @query(f"SELECT level, key, seq, tomb AS is_tombstone, val FROM {top(f'SELECT *, seq % 3 AS level FROM ({OD})', 'level, key')}")
@@ -273,52 +313,67 @@ def q31_compact_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return off.agg(F.count(F.when(F.col("d") > 0, 1)).alias("lost"), F.count(F.when(F.col("d") < 0, 1)).alias("added"))
 
 
-SEGMENTS = "SELECT seq // 2000 AS segment, min(key) AS key_min, max(key) AS key_max, min(seq) AS seq_min, max(seq) AS seq_max, count(*) AS n, count(DISTINCT key) AS keys"
-
-
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = orders_log(spark, sf_dir).withColumn("segment", F.floor(F.col("seq") / 2000))
-    return log.groupBy("segment").agg(F.min("key").alias("key_min"), F.max("key").alias("key_max"), F.min("seq").alias("seq_min"), F.max("seq").alias("seq_max"), F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+#: The commits of a store of four.
+PARTS = "SELECT o_custkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_orderkey * 4 // (SELECT max(o_orderkey) + 1 FROM orders) AS part FROM orders"
+HALF_OD = "(SELECT o_custkey AS key, o_orderkey * 2 // (SELECT max(o_orderkey) + 1 FROM orders) AS half FROM orders)"
 
 
-@query(f"{SEGMENTS} FROM ({OD}) GROUP BY 1")
+@query(f"SELECT min(key) AS key_min, max(key) AS key_max, min(seq) AS seq_min, max(seq) AS seq_max, count(*) AS n FROM ({PARTS}) GROUP BY part")
 def q32_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir)
+    """What the manifest tells of each commit's segment."""
+    with _orders_store(spark, sf_dir, 4, max_sst_size=1 << 40) as store:
+        listed = [(f.key_min[0], f.key_max[0], f.seq_min, f.seq_max, f.rows) for f in store.manifest.files]
+        return spark.createDataFrame(listed, "key_min bigint, key_max bigint, seq_min bigint, seq_max bigint, n bigint")
 
 
-RANGES = "SELECT event_type || '-' || (event_id // 2000) AS file, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1"
-
-
-@query(f"SELECT a.file AS source, b.file AS target FROM ({RANGES}) a JOIN ({RANGES}) b ON NOT (a.hi < b.lo OR a.lo > b.hi) WHERE a.file < b.file AND a.file LIKE 'click%'")
+@query(f"SELECT count(*) AS targets, min(least) AS key_min, max(most) AS key_max, CAST(1 AS BIGINT) AS level FROM (SELECT min(key) AS least, max(key) AS most FROM {HALF_OD} WHERE half = 0 UNION ALL SELECT min(key) + 1000000, max(key) + 1000000 FROM {HALF_OD} WHERE half = 0) WHERE least <= (SELECT max(key) FROM {HALF_OD} WHERE half = 1)")
 def q33_overlap_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of "click" and the files whose ranges they meet: an interval join by common cells of the range."""
-    name = F.concat_ws("-", "event_type", F.floor(F.col("event_id") / 2000).cast("string"))
-    files = _table(spark, sf_dir, "events").groupBy(name.alias("file")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    cells = F.explode(F.sequence(F.floor(F.col("lo") / 2000), F.floor(F.col("hi") / 2000))).alias("cell")
-    a = files.where("file LIKE 'click%'").select(F.col("file").alias("source"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), cells)
-    b = files.select(F.col("file").alias("target"), "lo", "hi", cells)
-    return a.join(b, "cell").where("NOT (ahi < lo OR alo > hi) AND source < target").select("source", "target").distinct()
-
-
-VERSIONS = "SELECT v, f FROM (SELECT unnest(range(0, 6)) AS v), (SELECT unnest(range(0, 12)) AS f) WHERE f >= v * 2 AND f < v * 2 + 3"
+    """The planner's targets: of two files in level 1 the one that the keys of level 0 meet."""
+    with _orders_store(spark, sf_dir, 2, flush_level_file_limit=1, max_sst_size=1 << 40) as store:
+        first, second = store.manifest.files
+        far = replace(first, path="far", key_min=(first.key_min[0] + 1_000_000,), key_max=(first.key_max[0] + 1_000_000,))
+        plan = planner.next_plan({0: [replace(second, level=0)], 1: [replace(first, level=1), far]}, store.limits)
+        found = [(len(plan.targets), min(f.key_min[0] for f in plan.targets), max(f.key_max[0] for f in plan.targets), plan.level)]
+        return spark.createDataFrame(found, "targets bigint, key_min bigint, key_max bigint, level bigint")
 
 
-def _versions(spark: SparkSession) -> DataFrame:
-    v = spark.range(6).select(F.col("id").alias("v"))
-    return v.select("v", F.explode(F.sequence(F.col("v") * 2, F.least(F.col("v") * 2 + 2, F.lit(11).cast("bigint")))).alias("f"))
-
-
-@query(f"SELECT v AS version, count(*) AS files, min(f) AS first_file, max(f) AS last_file FROM ({VERSIONS}) GROUP BY v")
+@query(f"SELECT part + 1 AS commits, count(*) AS rows, max(seq) + 1 AS next_seq FROM (SELECT p.part, q.seq FROM (SELECT DISTINCT part FROM ({PARTS})) p JOIN ({PARTS}) q ON q.part <= p.part) GROUP BY part")
 def q34_version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark).groupBy(F.col("v").alias("version")).agg(F.count(F.lit(1)).alias("files"), F.min("f").alias("first_file"), F.max("f").alias("last_file"))
+    """Versions of the manifest as commits come: its files, their rows and the next seq."""
+    with _orders_store(spark, sf_dir, 4, max_sst_size=1 << 40) as store:
+        log = [Manifest.from_json(store.files.read(ManifestLog.name(v))) for v in range(1, store.manifest.version + 1)]
+        seen = {len(m.files): (len(m.files), sum(f.rows for f in m.files), m.next_seq) for m in log if m.files}
+        return spark.createDataFrame(list(seen.values()), "commits bigint, rows bigint, next_seq bigint")
 
 
-@query(f"SELECT DISTINCT f AS file FROM ({VERSIONS}) WHERE v NOT IN (2, 5) AND f NOT IN (SELECT f FROM ({VERSIONS}) WHERE v IN (2, 5))")
+@query("SELECT true AS held_while_pinned, true AS gone_after, CAST(1 AS BIGINT) AS swept, count(*) AS n FROM orders")
 def q35_sweepable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files only in versions that are neither pinned (2) nor the newest (5)."""
-    files = _versions(spark)
-    held = files.where(F.col("v").isin(2, 5))
-    return files.where(~F.col("v").isin(2, 5)).join(held.select("f").distinct(), "f", "left_anti").select(F.col("f").alias("file")).distinct()
+    """A flushed commit's file stays while a reader has it pinned, and vacuum removes it after."""
+    with _orders_store(spark, sf_dir, max_sst_size=1 << 40) as store:
+        pin = store.pin()
+        (old,) = pin.manifest.files
+        store.flush()
+        held, n = store.files.exists(old.path), store.log(pin).count()
+        pin.release()
+        swept = store.vacuum()
+        found = [(held, not store.files.exists(old.path), len(swept), n)]
+        return spark.createDataFrame(found, "held_while_pinned boolean, gone_after boolean, swept bigint, n bigint")
+
+
+SINGLE = "(SELECT min(key) AS a, max(key) AS b FROM (SELECT o_custkey AS key FROM orders))"
+
+
+@query(f"SELECT key, CASE WHEN key = a THEN val + 1 WHEN key = b THEN 2.0 ELSE val END AS val FROM (SELECT key, val, a, b FROM {LIVE_OD}, {SINGLE} WHERE key NOT IN (a, b) AND key <> a + 1 UNION ALL SELECT a, 7.0, a, b FROM {SINGLE} UNION ALL SELECT b, 1.0, a, b FROM {SINGLE})")
+def q42_single_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """put, remove, update and get_and_update of single keys, then all pairs in one read."""
+    with _orders_store(spark, sf_dir) as store:
+        a, b = min(f.key_min[0] for f in store.manifest.files), max(f.key_max[0] for f in store.manifest.files)
+        store.put(a, 7.0)
+        store.remove(a + 1)
+        store.update(a, lambda v: v + 1)
+        store.put(b, 1.0)
+        store.get_and_update(b, lambda old: (old, old * 2))
+        return store.read(lambda tx: _kept(tx.scan().df()))
 
 
 @query(" UNION ALL ".join(f"SELECT {v} AS version, count(*) AS n, min(val) AS least, max(val) AS most FROM {top(OD, where=f'seq < {v}')} WHERE NOT tomb" for v in (500, 1000, 5000)))
@@ -366,21 +421,13 @@ def q40_lineitem_multi_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.latest(log, ["k1", "k2"]).select("k1", "k2", "seq", "val")
 
 
-@query(f"SELECT key, val FROM {top(f'SELECT * FROM ({OD}) WHERE seq < 8000 UNION ALL SELECT * FROM ({OD}) WHERE seq >= 8000')} WHERE NOT tomb AND key <= 400")
+@query(f"SELECT key, val FROM {LIVE_OD}")
 def q41_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders put into a store in two transactions, flushed, compacted and scanned from its files."""
-    import uuid
-
-    from siltstone.sources.store import Store
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/siltstone-stores"
-    rows = orders_log(spark, sf_dir).select("key", "val", F.col("is_tombstone").alias("gone"), F.col("seq").alias("at"))
-    with Store.open(spark, f"{base}/store-{uuid.uuid4().hex}", "key bigint", "val double", background=False, flush_level_file_limit=1) as store:
-        for part in (rows.where("at < 8000"), rows.where("at >= 8000")):
-            store.transaction(lambda tx, part=part: (tx.put_changes(part, "gone", order=["at"]), tx.commit())[1])
-            store.flush()
+    with _orders_store(spark, sf_dir, 2, flush_level_file_limit=1) as store:
+        store.flush()
         store.compact()
-        return store.scan(high=400).df()
+        return store.scan().df()
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +55,22 @@ class Files:
         for s in self._do("list", folder, self._fs.listStatus):
             yield s.getPath().getName(), s.getLen(), s.isDirectory()
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._do("status", name, lambda p: self._fs.getFileStatus(p).getModificationTime()) / 1000
+
+    def write(self, name: str, data: bytes) -> None:
+        """Write a file, or replace it."""
+
+        def run(p: object) -> None:
+            stream = self._fs.create(p, True)
+            try:
+                stream.write(bytearray(data))
+            finally:
+                stream.close()
+
+        self._do("write", name, run)
+
     def read(self, name: str) -> bytes:
         def run(p: object) -> bytes:
             stream = self._fs.open(p)

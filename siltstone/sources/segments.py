@@ -29,13 +29,16 @@ def write(files: Files, layout: Layout, rows: DataFrame, level: int, max_size: i
     folder = f"{FOLDER}/{level}-{uuid.uuid4().hex}"
     order = [F.col(IS_TAGGED).asc(), F.col(TAG).asc_nulls_first(), *(F.col(k).asc_nulls_first() for k in layout.key_names)]
     n = max(1, -(-expected_bytes // max(max_size, 1)), -(-expected_rows // ROWS_PER_FILE))
-    rows = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, *order)
+    # One file's worth of rows is gathered by a shuffle, so that what comes before it stays parallel.
+    rows = rows.repartition(1) if n == 1 else rows.repartitionByRange(n, *order)
     rows = rows.sortWithinPartitions(*order, F.desc(SEQ))
     out = rows.select(*layout.schema.names).write.option("compression", "zstd" if level > 1 else "snappy")
     out = out.option("parquet.bloom.filter.enabled", "false")
     for f in layout.keys:
         if f.dataType.typeName() in ("long", "integer", "string", "double", "float", "binary"):
             out = out.option(f"parquet.bloom.filter.enabled#{f.name}", "true").option(f"parquet.bloom.filter.fpp#{f.name}", str(fpp))
+            if expected_rows:  # else every file would hold a filter of the greatest size
+                out = out.option(f"parquet.bloom.filter.expected.ndv#{f.name}", str(max(1, 2 * expected_rows // n)))
     try:
         out.parquet(files.path(folder))
     except PySparkException as e:

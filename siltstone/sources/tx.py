@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from siltstone.model import TOMBSTONE, UNSET, Layout, ReadOnlyError, TransactionError
 from siltstone.operators import changes, resolve
+from siltstone.sources.scratch import Written
 
 if TYPE_CHECKING:
     from siltstone.sources.store import Pin, Store
@@ -89,6 +90,7 @@ class Tx:
         self.store, self.pin, self.writable, self.alive = store, pin, writable, True
         self.next_seq = pin.manifest.next_seq
         self.pending: list[DataFrame] = []
+        self._tables: list[Written] = []  # what frames were written to, until the end
         self._rows: list[tuple] = []  # rows given one by one, which the last pending frame holds
 
     @property
@@ -146,26 +148,36 @@ class Tx:
     def _add_frame(self, frame: DataFrame, tag: object, order: object, removed: bool) -> Tx:
         keys, values = self.layout.key_names, self.layout.value_names
         own = frame if removed else frame.select(*{*self.layout.pair_names, *(order or [])})
-        log = changes.versions(own, keys, () if removed else values, self.next_seq, order or list(keys), tag, removed)
+        numbered, n = self._stage(own, order or list(keys))
+        log = changes.as_versions(numbered, keys, () if removed else values, tag, removed)
         for f in self.layout.values if removed else ():
             log = log.selectExpr("*", f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`")
-        n = frame.count()
-        self.next_seq += n
         self._rows = []
         if n:
             self.pending.append(log.select(*self.layout.schema.names))
         return self
 
+    def _stage(self, frame: DataFrame, order: list) -> tuple[DataFrame, int]:
+        """The frame's rows, written to the store's folder and numbered from the next seq on."""
+        rows, n, table = changes.staged(frame, order, self.next_seq, self.store.files.path("scratch"))
+        self._tables.append(table)
+        self.next_seq += n
+        return rows, n
+
+    @property
+    def bytes(self) -> int:
+        """Of what frames hold that were written in this transaction."""
+        return sum(t.bytes for t in self._tables)
+
     def put_changes(self, frame: DataFrame, removed: str, tag: object = UNSET, order: object = None) -> Tx:
         """A batch of puts and removes in one order: rows whose ``removed`` flag holds are tombstones."""
         self._may_write()
         keys, values = self.layout.key_names, self.layout.value_names
         own = frame.select(*{*self.layout.pair_names, removed, *(order or [])})
-        log = changes.versions(own, keys, [*values, removed], self.next_seq, order or list(keys), tag)
+        numbered, n = self._stage(own, order or list(keys))
+        log = changes.as_versions(numbered, keys, [*values, removed], tag)
         gone = F.coalesce(F.col(removed), F.lit(False))
         log = log.withColumn(TOMBSTONE, gone).withColumns({v: F.when(~gone, F.col(v)) for v in values})
-        n = frame.count()
-        self.next_seq += n
         self._rows = []
         if n:
             self.pending.append(log.select(*self.layout.schema.names))
@@ -228,6 +240,9 @@ class Tx:
 
     def end(self) -> None:
         self.alive = False
+        for table in self._tables:
+            table.remove()
+        self._tables.clear()
         self.pin.release()
 
 
