@@ -1,9 +1,10 @@
 """Quality scores by attention-based multiple-instance learning (operator 1).
 
-A document is a bag of passages of ``PASSAGE`` words.  A passage is described by shares of byte classes
-and by word statistics, encoded by a learned layer, and weighted by gated attention learned from the
-documents' labels alone; the weighted sum of the encodings gives the document's score.  The model has
-a fixed size and is broadcast; documents are scored where they are read, without a shuffle.
+A document is a bag of passages of ``PASSAGE`` words.  A passage is described by shares of byte classes,
+by its words hashed to ``HASHED`` buckets and by word statistics, encoded by a learned layer, and weighted
+by gated attention learned from the documents' labels alone; the weighted sum of the encodings gives the
+document's score.  The model has a fixed size and is broadcast; documents are scored where they are read,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import mix64, span_hashes, utf8
+from siltstone.llm.decontaminate import LOWER
 from siltstone.llm.token_counts import slices
 
 PASSAGE, SLICE = 100, 2 << 20
@@ -40,8 +42,10 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 N_CLASSES = int(CLASS.max()) + 1
-EXTRA = 7
-WIDTH = N_CLASSES + EXTRA
+EXTRA, HASHED = 7, 64
+WIDTH = N_CLASSES + EXTRA + HASHED
+#: Passages of one document that are used to fit, evenly spaced over it.
+MOST_PASSAGES = 16
 
 
 def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +79,7 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[:, :N_CLASSES] = np.sqrt(hist / np.maximum(size, 1)[:, None])
     if not len(starts):
         return out, first
-    words = span_hashes(data, starts, ends)
+    words = span_hashes(LOWER[data], starts, ends)
     per = np.bincount(own, minlength=total)
     some = np.maximum(per, 1)
     kinds = np.unique(mix64(words + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
@@ -93,6 +97,8 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[:, N_CLASSES + 4] = np.sqrt(np.maximum(np.bincount(own, length**2, total) / some - mean**2, 0)) / 8
     out[:, N_CLASSES + 5] = np.log1p(per) / 5
     out[:, N_CLASSES + 6] = np.bincount(own, length <= 3, total) / some
+    buckets = np.bincount(own * HASHED + (words % np.uint64(HASHED)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED)
+    out[:, N_CLASSES + EXTRA :] = np.sqrt(buckets / some[:, None])
     return out, first
 
 
@@ -152,24 +158,29 @@ class AttentionModel:
                 self.p[k] = self.p[k] - rate * (one[k] / (1 - 0.9**i)) / (np.sqrt(two[k] / (1 - 0.99**i)) + 1e-9)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: Column, sample: int = 4000, most_bytes: int = 1 << 20, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", **options: int) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, rows: Column, sample: int = 4000, most_passages: int = MOST_PASSAGES, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", **options: int) -> AttentionModel:
     """Fit on labelled documents for which ``rows`` holds.
 
-    About ``sample`` of them at most, chosen by a hash of the id (texts over ``most_bytes`` aren't used
-    to fit); what comes to the driver are their passages' features.  A document labelled more than once
-    counts by its mean label.
+    About ``sample`` of them at most, chosen by a hash of the id; what comes to the driver are the features
+    of their passages, of at most ``most_passages`` of each, evenly spaced, so a long text has its part
+    in the fit and takes no more room than others.  A document labelled more than once counts by its mean
+    label; null ids and labels aren't used.
     """
     known = labels.where(rows & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") <= most_bytes)  # a sample of bounded size
+    held = texts.join(F.broadcast(chosen), "id")  # a sample of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            x, first = passages(data, at)
-            rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            rows = []
+            for a, b in slices(np.diff(at).tolist(), SLICE):
+                x, first = passages(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                for i, n in zip(first[:-1], np.diff(first), strict=True):
+                    used = min(int(n), most_passages)
+                    rows.append(x[i + np.arange(used) * n // used].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "x"])
 
     got = sorted(tuple(r) for r in held.mapInArrow(run, "id bigint, label int, x binary").collect())
@@ -184,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, sample: int = 4000,
 def quality_scores(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1), predicted, and the attention of each passage, for every whole text.
 
-    Null texts count as empty, and an empty text as one passage without words.  Repeated rows and null
-    ids are kept; without training rows the scores are those of the untrained model.
+    Null texts count as empty, and an empty text as one passage without words; a very long text is scored
+    whole.  Repeated rows and null ids are kept, equal texts score alike, and a score of 0.5 is predicted
+    1.  Columns other than id and text aren't read, whatever their names.  An empty table gives an empty
+    result; without training rows the scores are those of the untrained model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.p)
 

@@ -612,6 +612,44 @@ def test_quality_is_told_on_held_out_documents(spark, empty):
     assert len(rows) == 3 and rows[0]["score"] == rows[1]["score"]
 
 
+def test_quality_that_shows_in_words_alone_is_learned(spark):
+    r = random.Random(4)
+    names = [f"{a}{b}{c}" for a in "kst" for b in "aeiou" for c in "lmnr"]
+    r.shuffle(names)
+    rows = []
+    for i in range(1500):
+        good = i % 2
+        likely = names[:15] if good else names[15:30]
+        rows.append((i, " ".join(r.choice(likely if r.random() < 0.4 else names) for _ in range(150)), good))
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = attention_quality.train(given.drop("quality"), given.drop("text"), F.col("doc_id") % 5 > 0)
+    got = attention_quality.quality_scores(given, model).join(given, "doc_id").where("doc_id % 5 = 0").toPandas()
+    assert len(got) == 300 and (got.predicted == got.quality).mean() > 0.95
+
+
+def test_scores_are_those_of_each_text_alone(spark, docs, texts):
+    import pyarrow as pa
+
+    from siltstone.llm.common import utf8
+
+    model = attention_quality.AttentionModel.start(attention_quality.WIDTH)
+    got = {r["doc_id"]: r for r in attention_quality.quality_scores(docs, model).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        f = model.forward(*attention_quality.passages(*utf8(pa.array([t or ""]))))
+        assert abs(got[i]["score"] - f["y"][0]) < 1e-6 and len(got[i]["attention"]) == max(1, -(-len((t or "").split()) // 100))
+    model.p["c"][:] = 0
+    assert {(r["score"], r["predicted"]) for r in attention_quality.quality_scores(docs, model).collect()} == {(0.5, 1)}
+
+
+def test_long_texts_are_used_to_fit(spark):
+    rows = [(i, ("low words here " if i % 2 else "Some Other, Text. ") * (80_000 if i % 2 else 40), i % 2) for i in range(8)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(2)
+    model = attention_quality.train(given, given, F.lit(True), label_col="quality", steps=60)
+    got = attention_quality.quality_scores(given, model).collect()
+    assert len(got) == 8 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 # -- 3
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
