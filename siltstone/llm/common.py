@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import posixpath
 import tempfile
@@ -175,9 +176,32 @@ def release() -> None:
     """Drop what the worker keeps, before a task that needs the room for something else."""
     if _kept:
         _kept.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give back what the worker has freed: Arrow's pool and the C library hold on to it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leaves_room(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that starts without the memory freed by the worker's tasks before, and leaves none.
+
+    Workers live on between tasks and stages, and what they hold counts for the executor while they wait.
+    """
+
+    @functools.wraps(run)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return within
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, materialise, mix64, release, span_hashes, utf8
+from siltstone.llm.common import discard, leaves_room, materialise, mix64, release, span_hashes, utf8
 from siltstone.llm.token_counts import slices
 
 K, W = 5, 4
 SPAN = K + W - 1
-BLOCK_BYTES, SLICE = 8 << 20, 2 << 20
+#: Bytes of text worked on at once: hashing takes some fifty times as much, and powers as long are kept.
+BLOCK_BYTES, SLICE = 8 << 20, 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.ones(256, bool)
@@ -212,7 +213,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, item_col: str = "item_i
                     clean[np.searchsorted(at, index.hits(w, at)[0], "right") - 1] = False
                     yield batch.slice(a, b - a).filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(leaves_room(run), docs.schema)
     return docs
 
 

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import kept
+from siltstone.llm.common import kept, leaves_room, utf8
+from siltstone.llm.token_counts import slices
 
 
 # First and last code point of the blocks of each script.
@@ -41,6 +42,8 @@ SCRIPTS = {
 NAMES = list(SCRIPTS)
 #: Words a worker keeps with their scores at most: some 50 MB with four languages.
 BUCKETS, CACHE, LEAST_ROWS = 1 << 15, 300_000, 32
+#: Bytes of text cut into words at once by the filter.
+SLICE = 1 << 18
 UNDETERMINED = "und"
 _ranges = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
 _STARTS = np.array([a for a, _, _ in _ranges], np.uint32)
@@ -252,8 +255,8 @@ def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col
         own = _worker_model(key, sent.value)
         learned = set(own.languages)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, b in slices(np.diff(utf8(batch.column(text_col))[1]).tolist(), SLICE):
+                part = batch.slice(a, b - a)
                 got = own.told(part.column(text_col).to_pylist())
                 keep = [g[0] != UNDETERMINED and g[1] >= least and used >= known for g, used in got]
                 if given:
@@ -263,4 +266,4 @@ def filter_languages(docs: DataFrame, model: Model, least: float = 0.0, text_col
                     part = part.set_column(part.schema.get_field_index(given), part.schema.field(given), told)
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(leaves_room(run), docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, keyed_join, materialise, mix64, release, utf8
+from siltstone.llm.common import discard, keyed_join, leaves_room, materialise, mix64, release, utf8
 from siltstone.llm.decontaminate import kgrams, words
 from siltstone.llm.token_counts import slices
 
@@ -37,7 +37,7 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 9, 0.995
 #: Nodes of at most so many documents aren't looked at further down.
 SMALL = 8
-TILE, TILE_BYTES, SLICE = 512, 16 << 20, 2 << 20
+TILE, TILE_BYTES, SLICE = 512, 16 << 20, 1 << 18
 
 
 def met_within(depths: Sequence[int], threshold: float) -> float:
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 same = [x.tobytes() for x in both]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "n", "same", "paths"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, same binary, paths binary")
+    return docs.mapInArrow(leaves_room(run), "id bigint, n bigint, same binary, paths binary")
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
                 h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+    return docs.mapInArrow(leaves_room(run), "id bigint, shingles binary")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

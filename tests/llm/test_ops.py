@@ -10,10 +10,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -780,6 +782,32 @@ def test_registered():
     assert names == list(range(1, 11)) and "pipeline" in queries() and set(oracle_sql()) <= set(queries())
 
 
+class Rows:
+    """Stands for a table of one batch: what its worker runs is run here, and the memory measured."""
+
+    def __init__(self, spark, batch):
+        self.sparkSession, self.schema, self.batch = spark, None, batch
+
+    def mapInArrow(self, run, schema):
+        tracemalloc.start()
+        self.rows, self.peak = sum(x.num_rows for x in run(iter([self.batch]))), tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return self
+
+
+@pytest.mark.parametrize("stage", ["language", "signatures", "shingles", "benchmark"])
+def test_the_pipelines_workers_need_little_memory_and_give_it_back(spark, monkeypatch, stage):
+    texts = [prose(i, 6000, 5000) for i in range(300)]
+    docs = Rows(spark, pa.RecordBatch.from_pydict({"id": list(range(300)), "text": texts}))
+    model = language_id.train(spark.createDataFrame([(i, prose(i, 50), "en") for i in range(40)], "doc_id bigint, text string, lang string"), F.lit(True))
+    items = spark.createDataFrame([(1, prose(-1, 20, 10**9))], "item_id bigint, text string")
+    trimmed = []
+    monkeypatch.setattr(common, "trim", lambda: trimmed.append(True))
+    run = {"language": lambda: language_id.filter_languages(docs, model), "signatures": lambda: lsh_forest.signatures(docs), "shingles": lambda: lsh_forest.shingle_rows(docs), "benchmark": lambda: decontaminate.drop_contaminated(docs, items)}[stage]
+    run()
+    assert docs.rows == 300 and docs.peak < 36e6 and len(trimmed) >= 2
+
+
 def test_the_pipeline(spark, tmp_path):
     import corpus_pipeline
 
